@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from quarrykit.llm import quality
+from quarrykit.llm import chat, quality, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_sharding": sharding.query,
+    "op4_chat_formatting": chat.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
+    "op2_sharding": sharding.ORACLE,
+    "op4_chat_formatting": chat.ORACLE,
 }
