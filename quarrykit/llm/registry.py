@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quarrykit.llm import chat, quality, sharding
+from quarrykit.llm import chat, ngram_join, quality, sharding
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_sharding": sharding.query,
     "op4_chat_formatting": chat.query,
+    "op6_ngram_jaccard": ngram_join.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
     "op2_sharding": sharding.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
+    "op6_ngram_jaccard": ngram_join.ORACLE,
 }
