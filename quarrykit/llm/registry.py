@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quarrykit.llm import chat, ngram_join, quality, sharding
+from quarrykit.llm import chat, ngram_join, quality, sharding, suffix_dedup
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_sharding": sharding.query,
     "op4_chat_formatting": chat.query,
     "op6_ngram_jaccard": ngram_join.query,
+    "op8_suffix_dedup": suffix_dedup.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
