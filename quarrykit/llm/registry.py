@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from quarrykit.llm import chat, ngram_join, quality, sharding, suffix_dedup
+from quarrykit.llm import chat, html_text, ngram_join, quality, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_sharding": sharding.query,
     "op4_chat_formatting": chat.query,
+    "op5_warc": warc.query,
     "op6_ngram_jaccard": ngram_join.query,
+    "op7_html_extraction": html_text.query,
     "op8_suffix_dedup": suffix_dedup.query,
 }
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
     "op2_sharding": sharding.ORACLE,
     "op4_chat_formatting": chat.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op6_ngram_jaccard": ngram_join.ORACLE,
 }
