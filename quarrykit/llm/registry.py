@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from quarrykit.llm import chat, html_text, ngram_join, quality, sharding, suffix_dedup, warc
+from quarrykit.llm import chat, decontam, html_text, ngram_join, packing, quality, sharding, suffix_dedup, warc
+from quarrykit.shipping import ship
+
+
+def _shipped(query):
+    return lambda spark, sf_dir: query(ship(spark), sf_dir)
+
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -12,7 +18,10 @@ QUERIES = {
     "op6_ngram_jaccard": ngram_join.query,
     "op7_html_extraction": html_text.query,
     "op8_suffix_dedup": suffix_dedup.query,
+    "op9_bestfit_packing": packing.query,
+    "op10_decontamination": decontam.query,
 }
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 ORACLES = {
     "op1_quality_rules": quality.ORACLE,
     "op2_sharding": sharding.ORACLE,
