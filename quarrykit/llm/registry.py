@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrykit.llm import chat, decontam, html_text, ngram_join, packing, quality, sharding, suffix_dedup, warc
+from quarrykit.llm import chat, decontam, html_text, lm_scoring, ngram_join, packing, quality, sharding, suffix_dedup, warc
 from quarrykit.shipping import ship
 
 
@@ -13,6 +13,7 @@ def _shipped(query):
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_sharding": sharding.query,
+    "op3_lm_scoring": lm_scoring.query,
     "op4_chat_formatting": chat.query,
     "op5_warc": warc.query,
     "op6_ngram_jaccard": ngram_join.query,
