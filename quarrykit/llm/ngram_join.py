@@ -4,12 +4,13 @@ Links are exact: ``den * |A and B| >= num * |A or B|`` over distinct n-word shin
 
 1. One pass counts shingles that a batch of texts shares and keeps the ``HOT`` most frequent ones as a bounded list
    (8 bytes each). It only orders shingles; any list gives the same links.
-2. One pass makes a row a text: set size, set digest, a bitmap of about four bits a shingle, and the prefix: the first
+2. One pass makes a row a text: set size, set digest, a bitmap of one to two bits a shingle, and the prefix: the first
    n - ceil(t n) + 1 shingles in the order (rare before hot, then hash). Linked sets share a shingle of both prefixes.
    Texts with equal sets are one member from here on.
 3. Prefix shingles are dealt by value; sorted runs of two members or more are groups. Groups with the same members are
    one. In each group a signature tree over the bitmaps is joined with itself; pairs that its bounds can't rule out
-   become candidate edges, and of those only what connects the group.
+   become candidate edges, and of those only what connects the group. Two groups a member come first: groups whose
+   members are connected by then need no bitmaps.
 4. Connected candidates form small clusters; their sets come once more, from the texts, and a signature tree with a bit
    for every shared shingle gives the exact links and components.
 
@@ -40,7 +41,7 @@ HOT = 1 << 16
 HOT_LEAST = 16
 BLOCK = 2048
 RUN = 1 << 16
-MIN_BITS, MAX_BITS = 256, 1 << 15
+MIN_BITS, MAX_BITS = 64, 1 << 15
 SEEN = "id long, n long, digest binary, prefix array<long>, bits binary"
 
 
@@ -71,7 +72,7 @@ def hot_shingles(docs: DataFrame, n: int, text: str) -> np.ndarray:
 
 
 def _n_bits(size: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << int(4 * size - 1).bit_length()))
+    return min(MAX_BITS, max(MIN_BITS, 1 << int(size - 1).bit_length()))
 
 
 def _described(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: str, hot: np.ndarray) -> DataFrame:
@@ -110,47 +111,52 @@ def _described(docs: DataFrame, n: int, num: int, den: int, id_col: str, text: s
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)).mapInArrow(rows, SEEN)
 
 
+def _run_batch(groups: list[np.ndarray], members: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(groups)), pa.array(np.concatenate(members))], names=["grp", "id"])
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by shingle and member: (group, member) of every run of two or more. A run's group is the hash of
     its members, or of its shingle where it has more than ``RUN``."""
+    key_now: int | None = None
+    held: list[np.ndarray] = []
+    spilled = False
+    groups: list[np.ndarray] = []
+    members: list[np.ndarray] = []
+
+    def close():
+        if held:
+            m = np.unique(np.concatenate(held))
+            if spilled or len(m) > 1:
+                g = key_now if spilled else int(tk.mix(m.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+                groups.append(np.full(len(m), g, dtype=np.int64))
+                members.append(m)
+            held.clear()
 
-    def out(group, member):
-        return pa.RecordBatch.from_arrays([pa.array(group), pa.array(member)], names=["grp", "id"])
-
-    held_key, held, spilled = None, [], False
     for b in batches:
         if not b.num_rows:
             continue
         key, member = b.column(0).to_numpy(), b.column(1).to_numpy()
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         last = np.append(first[1:], len(key))
-        groups, members = [], []
-
-        def close():
-            if held:
-                m = np.unique(np.concatenate(held))
-                if spilled or len(m) > 1:
-                    g = held_key if spilled else int(tk.mix(m.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
-                    groups.append(np.full(len(m), g, dtype=np.int64))
-                    members.append(m)
-
-        for f, t in zip(first.tolist(), last.tolist()):
+        # runs of one are over unless they stand at an end of the batch
+        some = last - first > 1
+        some[[0, -1]] = True
+        for f, t in zip(first[some].tolist(), last[some].tolist()):
             k = int(key[f])
-            if k != held_key:
+            if k != key_now:
                 close()
-                held_key, held, spilled = k, [], False
+                key_now, spilled = k, False
             held.append(member[f:t])
             if sum(map(len, held)) > RUN:
                 spilled = True
                 close()
-                held = []
         if groups:
-            yield out(np.concatenate(groups), np.concatenate(members))
-    if held:
-        m = np.unique(np.concatenate(held))
-        if spilled or len(m) > 1:
-            g = held_key if spilled else int(tk.mix(m.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
-            yield out(np.full(len(m), g, dtype=np.int64), m)
+            yield _run_batch(groups, members)
+            groups, members = [], []
+    close()
+    if groups:
+        yield _run_batch(groups, members)
 
 
 def _stars(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
@@ -167,11 +173,15 @@ class _Window:
         self.blocks: list[tuple] = []
         self.ids: list[np.ndarray] = []
         self.total = 0
+        self.met: dict[int, int] = {}
         self.joined = st.Joined(0)
 
-    def add(self, ids: np.ndarray, sizes: np.ndarray, payload, pair) -> None:
-        self.joined.label = np.concatenate([self.joined.label, np.arange(self.total, self.total + len(ids))])
+    def add(self, ids: np.ndarray, sizes: np.ndarray, roots: np.ndarray, payload, pair) -> None:
+        """``roots``: members with equal ones have met before."""
         at = np.arange(self.total, self.total + len(ids))
+        known = [self.met.setdefault(r, i) for r, i in zip(roots.tolist(), at.tolist())]
+        self.joined.label = np.concatenate([self.joined.label, at])
+        self.joined.label[at] = self.joined.label[known]
         self.total += len(ids)
         self.ids.append(ids)
         self.blocks = [x for x in self.blocks if x[1].max() * self.den >= sizes.min() * self.num]
@@ -206,7 +216,7 @@ def _by_set(a: list[np.ndarray], na: np.ndarray, b: list[np.ndarray], nb: np.nda
 
 
 def _grouped(num: int, den: int, pair, decode):
-    """Rows sorted by group and size -> edges that connect each group's candidates (or links)."""
+    """Rows (group, id, size, root, set), sorted by group and size -> edges that connect each group's members."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, window, held = None, None, []
@@ -215,7 +225,7 @@ def _grouped(num: int, den: int, pair, decode):
             if held:
                 # bitmaps differ in length by size: a block holds one length
                 for run in _equal_lengths(held):
-                    window.add(np.array([r[0] for r in run]), np.array([r[1] for r in run]), [decode(r[2]) for r in run], pair)
+                    window.add(np.array([r[0] for r in run]), np.array([r[1] for r in run]), np.array([r[2] for r in run]), [decode(r[3]) for r in run], pair)
                 held.clear()
 
         def done():
@@ -224,12 +234,12 @@ def _grouped(num: int, den: int, pair, decode):
             return pa.RecordBatch.from_arrays([pa.array(edges["a"].to_numpy(np.int64)), pa.array(edges["b"].to_numpy(np.int64))], names=["a", "b"])
 
         for b in batches:
-            for g, i, n, x in zip(*(c.to_pylist() for c in b.columns)):
+            for g, i, n, root, x in zip(*(c.to_pylist() for c in b.columns)):
                 if g != key:
                     if window is not None:
                         yield done()
                     key, window = g, _Window(num, den)
-                held.append((i, n, x))
+                held.append((i, n, root, x))
                 if len(held) >= BLOCK:
                     flush()
         if window is not None:
@@ -255,11 +265,22 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     reps = filled.join(classes.where("id = rep").select("id").distinct(), "id", "left_semi")
 
     dealt = reps.select(F.explode("prefix").alias("k"), "id").repartition("k").sortWithinPartitions("k", "id")
-    groups = dealt.mapInArrow(_runs, "grp long, id long").distinct()
+    members = written(dealt.mapInArrow(_runs, "grp long, id long").distinct(), "members")
     about = reps.select("id", "n", "bits").dropDuplicates(["id"])
-    members = groups.join(about, "id").select("grp", "id", "n", "bits").repartition("grp").sortWithinPartitions("grp", "n", "id")
-    candidates = members.mapInArrow(_grouped(num, den, _by_bitmap, lambda x: x), "a long, b long")
-    clusters = written(components(candidates), "clusters")
+
+    def candidates(rows: DataFrame) -> DataFrame:
+        """``rows``: grp, id, root."""
+        full = rows.join(about, "id").select("grp", "id", "n", "root", "bits").repartition("grp").sortWithinPartitions("grp", "n", "id")
+        return full.mapInArrow(_grouped(num, den, _by_bitmap, lambda x: x), "a long, b long")
+
+    # two groups a member first; what they connect settles most of the other groups without their bitmaps
+    ends = members.groupBy("id").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).select(F.explode(F.array("x", "y")).alias("grp")).distinct()
+    some = written(candidates(members.join(ends, "grp", "left_semi").withColumn("root", F.col("id"))), "candidates")
+    rooted = members.join(components(some).withColumnRenamed("node", "id"), "id", "left").select("grp", "id", F.coalesce("root", "id").alias("root"))
+    apart = rooted.groupBy("grp").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("grp")
+    rest = rooted.join(apart, "grp", "left_semi").join(ends, "grp", "left_anti")
+    edges = some.unionByName(candidates(rest))
+    clusters = written(components(edges), "clusters")
 
     def again(batches):
         for b in batches:
@@ -268,10 +289,10 @@ def link_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
                 count = len(at) - 1
                 size = np.diff(at)
                 sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([cluster.slice(first, count), ids.slice(first, count), pa.array(size.astype(np.int64)), sets], names=["grp", "id", "n", "bits"])
+                yield pa.RecordBatch.from_arrays([cluster.slice(first, count), ids.slice(first, count), pa.array(size.astype(np.int64)), ids.slice(first, count), sets], names=["grp", "id", "n", "root", "bits"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text")).join(clusters, "node")
-    sets = texts.select("node", "root", "text").mapInArrow(again, "grp long, id long, n long, bits array<long>")
+    sets = texts.select("node", "root", "text").mapInArrow(again, "grp long, id long, n long, root long, bits array<long>")
     sets = sets.repartition("grp").sortWithinPartitions("grp", "n", "id")
     links = sets.mapInArrow(_grouped(num, den, _by_set, lambda x: np.array(x, dtype=np.int64).view(np.uint64)), "a long, b long")
     # classes of equal sets are linked through their first member
