@@ -134,6 +134,16 @@ def apply_policy(table: DataFrame, version: str = PRODUCTION) -> DataFrame:
     return table.withColumn("policy", F.lit(version)).withColumn("kept", F.col("failure_bits").bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0)
 
 
+def kept(docs: DataFrame, version: str = PRODUCTION, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that a version keeps, with their columns. The ledger passes through a generator, which no filter
+    is pushed below: the rules are evaluated once a row."""
+    columns = [f"_in{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*columns)
+    held = ledger(own, columns[docs.columns.index(text)], tuple(columns))
+    held = held.select(F.inline(F.array(F.struct(*columns, "failure_bits"))))
+    return apply_policy(held, version).where("kept").select(*columns).toDF(*docs.columns)
+
+
 def ablation(table: DataFrame, version: str = PRODUCTION) -> DataFrame:
     """For each rule of a version: documents that fail it, that fail only it (what removing the rule would keep), and
     what the version keeps without it. Only masks and counts move."""

@@ -327,7 +327,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
     @F.pandas_udf("string")
     def cut(t, spans):
-        return t.combine(spans, lambda x, s: x if x is None or s is None else _cut(x.encode(), s)[0].decode("utf-8", "ignore"))
+        import pandas as pd
+
+        return pd.Series([None if x is None else _cut(x.encode(), None if s is None else list(s))[0].decode("utf-8", "ignore") for x, s in zip(t, spans)], dtype=object)
 
     rows = _with_spans(docs, id_col, text)
     return rows.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("spans")))).select(*docs.columns)
