@@ -8,6 +8,7 @@ from quarrykit import rules
 from quarrykit.functions import text as X
 from quarrykit.operators import behavior, cfg, instructions, runtime, strings, xrefs
 from quarrykit.plans import adapters as A
+from quarrykit.plans import decompile
 
 
 def _classed(s, d):
@@ -209,3 +210,13 @@ NAMES = (
     import_xrefs, section_lookup, section_strings, param_inference, condition_ops, identifier_sanitize, c_escape, runtime_markers, register_map, package_summary,
 )
 QUERIES = {f.__name__: f for f in NAMES}
+
+
+def decompile_functions(s, d):
+    m = _members(s, d)
+    f = instructions.functions(m)
+    out = decompile.decompiled(m, f, xrefs.calls(m, _no_imports(s), f), instructions.parameters(m, "PE/EXE"))
+    return out.select("binary_id", "address", "name", "prototype", "c_text")
+
+
+QUERIES["decompile_functions"] = decompile_functions
