@@ -67,6 +67,28 @@ def confidence(n: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(95), 60 + 15 * (n - 1))).cast("int")
 
 
+def reports(runtimes: DataFrame, strings: DataFrame, sections: DataFrame, imports: DataFrame) -> DataFrame:
+    """``binary_id, family, title, summary, artifacts, actions``: fixed texts of each family found, with its markers or evidence."""
+    spark = runtimes.sparkSession
+    fixed = spark.createDataFrame(
+        [(f, summary, detail, [{"label": a, "detail": b} for a, b in actions]) for f, summary, detail, actions in rules.RUNTIME_REPORTS],
+        "family string, summary string, evidence_detail string, actions array<struct<label:string,detail:string>>",
+    )
+    table = [(f, k, n, d) for f, k, n, d in rules.REPORT_MARKERS]
+    known = spark.createDataFrame([(f, o, k, n, d) for o, (f, k, n, d) in enumerate(table)], "family string, ord int, kind string, needle string, detail string")
+    hits = marker_hits(strings, sections, imports, tuple((f, 0, k, n, d) for f, k, n, d in table if k == "string")).join(F.broadcast(known), ["kind", "needle"])
+    marked = hits.select("binary_id", "family", "ord", F.lit(0).alias("at"), F.col("needle").alias("name"), "detail")
+    low = X.ascii_lower(F.col("name"))
+    named = sections.select("binary_id", "section_ord", "name", F.when(low.contains("snapshot"), "dart_flutter").when(low.contains("gopclntab") | low.contains("go.buildinfo"), "go").alias("family")).where("family is not null")
+    detail = F.when(F.col("family") == "go", "Go metadata section").otherwise("Dart/Flutter snapshot-related section")
+    marked = marked.unionByName(named.select("binary_id", "family", F.lit(-1).alias("ord"), F.col("section_ord").alias("at"), "name", detail.alias("detail")))
+    listed = marked.groupBy("binary_id", "family").agg(F.sort_array(F.collect_list(F.struct("ord", "at", "name", "detail"))).alias("m"))
+    out = runtimes.join(F.broadcast(fixed), "family").join(listed, ["binary_id", "family"], "left")
+    evidence = F.transform("evidence", lambda e: F.struct(e.alias("name"), F.col("evidence_detail").alias("detail")))
+    markers = F.coalesce(F.transform("m", lambda x: F.struct(x["name"].alias("name"), x["detail"].alias("detail"))), F.array().cast("array<struct<name:string,detail:string>>"))
+    return out.select("binary_id", "family", F.col("name").alias("title"), "summary", F.when(F.col("evidence_detail") != "", evidence).otherwise(markers).alias("artifacts"), "actions")
+
+
 def carve_pyc(sections: DataFrame) -> DataFrame:
     """Bytecode candidates: CR LF at 2, a code object's mark at 16; each ends at the next one, 1 MiB on, or the section's end.
     Positions come from the bytes in one Arrow pass, ends from a window."""

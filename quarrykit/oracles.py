@@ -125,4 +125,13 @@ ORACLES = {
     "c_escape": r"""select page_id, '"' || url || '"' quoted, '"\303\251\"\\\n\t' || page_id || '"' odd from pages""",
     "identifier_sanitize": r"""select p_partkey, case when regexp_matches(b, '^[0-9]') then 'sym_' || b else b end as name, regexp_replace(p_type, '[^A-Za-z0-9_.-]', '_', 'g') stem
  from (select *, regexp_replace(regexp_replace(p_name[1:40] || '!' || p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_$', '') b from part)""",
+    "thunks": f"""with {INSTR.replace("else 'ret' end m,", "else 'ret' end m0,").replace("::bigint k from events),", "::bigint k from events), ev1 as (select *, case when m0 = 'call' and seq % 2 = 0 then 'jmp' else m0 end m from ev),", 1).replace("from ev a left join ev b", "from ev1 a left join ev1 b").replace("case when a.m in ('jne', 'call')", "case when a.m0 in ('jne', 'call')").replace("a.m in ('call', 'ret', 'jne') is_cf", "true is_cf").replace("select distinct binary_id, target address from ins where is_call and target is not null", "select distinct binary_id, target address from (select *, lead(address) over (partition by binary_id order by seq) na from ins) where target is not null and (is_call or (m = 'jmp' and target = na and na <> address + length))")}
+ select binary_id, kind, count(*) n from (select binary_id, f, case when count(*) = 1 and bool_and(m = 'jmp') then 'tailcall_thunk' else 'normal' end kind from mem group by 1, 2) group by 1, 2""",
+    "code_patterns": f"""with {INSTR}, ops as (select *, case m when 'call' then case when seq % 2 = 0 then 'call malloc' else 'call free' end when 'mov' then case k % 4 when 0 then 'mov rax,rcx' when 1 then 'mov ecx,5' when 2 then 'mov [rbp-8],rdx' else 'mov r8,[rcx]' end when 'cmp' then case when k % 4 < 2 then 'cmp rdx,0' else 'cmp eax,r9d' end else m end t from mem),
+ fn as (select binary_id, f, string_agg(t, '; ' order by seq) t from ops group by 1, 2),
+ hit as (select binary_id, 'malloc_call' as pattern from fn where regexp_matches(t, 'call.*malloc') union all select binary_id, 'free_call' from fn where regexp_matches(t, 'call.*free') union all select binary_id, 'while_loop' from fn where regexp_matches(t, 'cmp.*;\\s*j[nelg|]'))
+ select binary_id, pattern, count(*) n from hit group by 1, 2""",
+    "value_types": """with v as (select l_orderkey, l_linenumber, case l_linenumber when 1 then l_partkey * l_suppkey when 2 then l_orderkey end x from lineitem),
+ k as (select l_orderkey, l_linenumber, case when x is not null then case when x <= 255 then 'U8' when x <= 65535 then 'U16' when x <= 4294967295 then 'U32' else 'U64' end when l_linenumber = 4 then 'Pointer(Void)' else 'Unknown' end kind from v)
+ select *, case kind when 'U8' then 'uint8_t' when 'U16' then 'uint16_t' when 'U32' then 'uint32_t' when 'U64' then 'uint64_t' else 'void*' end c_type, case kind when 'U8' then 1 when 'U16' then 2 when 'U32' then 4 else 8 end::int size from k""",
 }

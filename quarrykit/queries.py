@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrykit import rules
 from quarrykit.functions import text as X
-from quarrykit.operators import behavior, cfg, instructions, runtime, strings, xrefs
+from quarrykit.operators import behavior, cfg, inference, instructions, runtime, strings, xrefs
 from quarrykit.plans import adapters as A
 from quarrykit.plans import decompile
 
@@ -220,3 +220,17 @@ def decompile_functions(s, d):
 
 
 QUERIES["decompile_functions"] = decompile_functions
+
+
+def code_patterns(s, d):
+    rows = _members(s, d).withColumn("operands", F.when(F.col("mnemonic") == "call", F.when(F.col("seq") % 2 == 0, "malloc").otherwise("free")).otherwise(F.col("operands")))
+    return inference.patterns(rows).groupBy("binary_id", "pattern").agg(F.count("*").alias("n"))
+
+
+def value_types(s, d):
+    rows = A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, (F.col("l_partkey") * F.col("l_suppkey")).cast("string")).when(F.col("l_linenumber") == 2, F.concat(F.lit("eax, 0x"), F.hex("l_orderkey"))).otherwise("rax, rbx").alias("o"))
+    kind = inference.value_type(F.lit("x86"), F.when(F.col("l_linenumber") == 4, "lea").otherwise("mov"), F.col("o"))
+    return rows.select("l_orderkey", "l_linenumber", kind.alias("kind")).withColumns({"c_type": inference.c_type(F.col("kind")), "size": inference.c_size(F.col("kind"))})
+
+
+QUERIES |= {f.__name__: f for f in (code_patterns, value_types)}

@@ -113,3 +113,64 @@ PE_DIRECTORIES = (
     " import_address_table delay_import_descriptor clr_runtime_header"
 )
 PYTHON_MARKERS = (("PYZ-00.pyz", "PyInstaller PYZ archive"), ("_MEIPASS", "PyInstaller extraction marker"), ("pyi_rth", "PyInstaller runtime hook"), ("__nuitka", "Nuitka marker"), ("Py_Initialize", "CPython embedding API"))
+
+# Runtime reports: family, summary, what its artifacts are (evidence with a detail, or none), actions (label, detail)
+RUNTIME_REPORTS = (
+    ("python_packaged", "Python packaged executable: for PyInstaller-style bundles attempt archive extraction first, then bytecode recovery when .pyc payloads are present.", "", (
+        ("Extract embedded Python archive", "Look for PyInstaller CArchive/PYZ payloads and recover bundled modules before native C pseudocode."),
+        ("Decompile bytecode when available", "Recovered .pyc files can often be decompiled back to Python-like source; Nuitka/Cython builds usually require native analysis instead."),
+    )),
+    ("python_native", "Embedded CPython runtime detected: source recovery depends on whether bytecode/modules are embedded or loaded externally.", "Runtime evidence", (
+        ("Inspect module loading paths", "Trace PyImport/Py_Initialize usage to find embedded modules, external paths, or encrypted loaders."),
+        ("Prefer bytecode recovery if present", "If .pyc payloads exist, decompile bytecode; otherwise continue with native pseudocode around the embedding API."),
+    )),
+    ("dart_flutter", "Dart/Flutter AOT binary: release builds are native snapshots, so exact Dart source recovery is not expected.", "", (
+        ("Inventory snapshots and Flutter markers", "Report vm/isolate snapshot sections, dart:ui strings, and Flutter metadata before native decompilation."),
+        ("Use native pseudocode fallback", "Recover control flow, strings, and API usage; this is not exact Dart source reconstruction for AOT release builds."),
+    )),
+    ("dotnet_clr", ".NET CLR binary: IL and metadata should be analyzed before treating it as opaque native code.", "CLR evidence", (
+        ("Prefer IL decompilation", "Extract CLR metadata/IL and inspect it with dnSpy or ILSpy."),
+        ("Use native fallback only for mixed-mode code", "Native pseudocode is still useful for unmanaged stubs, packed loaders, or mixed-mode components."),
+    )),
+    ("go", "Go native binary: recover function names and call graph from preserved runtime metadata when possible.", "", (
+        ("Recover Go metadata", "Parse pclntab/buildinfo to improve function names before emitting native pseudocode."),
+    )),
+    ("rust", "Rust native binary: use panic paths, symbol remnants, and strings to improve native decompilation context.", "Rust evidence", (
+        ("Annotate Rust runtime evidence", "Use core/std panic markers and any demangled symbols to label functions before native pseudocode."),
+    )),
+    ("electron_node", "Electron/Node packaged app: JavaScript assets may be recoverable separately from the native wrapper.", "", (
+        ("Extract application assets", "Look for app.asar/resources and recover JavaScript/TypeScript assets before native wrapper analysis."),
+    )),
+    ("jvm", "JVM packaged app: class or JAR content may be recoverable and decompiled as bytecode.", "JVM evidence", (
+        ("Extract JVM bytecode", "Search for class/JAR resources and decompile bytecode before native launcher analysis."),
+    )),
+)
+# family, where to look, needle, detail
+REPORT_MARKERS = (
+    ("python_packaged", "string", "PYZ", "PyInstaller archive marker"),
+    ("python_packaged", "string", "_MEIPASS", "PyInstaller extraction directory marker"),
+    ("python_packaged", "string", "pyi_rth", "PyInstaller runtime hook"),
+    ("python_packaged", "string", "Nuitka", "Nuitka native Python marker"),
+    ("dart_flutter", "section", "snapshot", "Dart/Flutter snapshot-related section"),
+    ("dart_flutter", "string", "dart:ui", "Flutter dart:ui marker"),
+    ("dart_flutter", "string", "Flutter", "Flutter marker"),
+    ("go", "section", "gopclntab", "Go metadata section"),
+    ("go", "section", "go.buildinfo", "Go metadata section"),
+    ("electron_node", "string", "app.asar", "Electron application archive"),
+    ("electron_node", "string", "node_modules", "Node package directory"),
+)
+# name, pattern over "; "-joined instructions, confidence
+CODE_PATTERNS = (
+    ("function_prologue_x86", r"push (ebp|rbp);\s*mov (ebp|rbp), (esp|rsp)", 0.9),
+    ("function_prologue_x64", r"push rbp;\s*mov rbp, rsp", 0.9),
+    ("string_copy", r"mov (eax|rax),\s*\[.*\];\s*test (eax|rax),\s*(eax|rax)", 0.7),
+    ("for_loop", r"dec (eax|ecx|rcx);\s*jnz", 0.8),
+    ("while_loop", r"cmp.*;\s*j[ne|ge|le]", 0.7),
+    ("malloc_call", r"call.*malloc", 0.95),
+    ("free_call", r"call.*free", 0.95),
+)
+# type, C name, bytes; an array has its element's name with [] and its element's bytes times its length
+C_TYPES = (
+    ("Void", "void", 0), ("Bool", "bool", 1), ("I8", "int8_t", 1), ("U8", "uint8_t", 1), ("I16", "int16_t", 2), ("U16", "uint16_t", 2), ("I32", "int32_t", 4), ("U32", "uint32_t", 4),
+    ("I64", "int64_t", 8), ("U64", "uint64_t", 8), ("Pointer(Void)", "void*", 8), ("Pointer(I8)", "char*", 8), ("Pointer(U8)", "unsigned char*", 8), ("FunctionPointer", "void(*)()", 8), ("Unknown", "void*", 8),
+)

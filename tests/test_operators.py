@@ -218,3 +218,26 @@ def test_streaming_ingest(spark, tmp_path):
     (tmp_path / "in" / "a.so").write_bytes(elf())
     ingest.to_parquet(ingest.stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), once=True).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).first().format == "ELF"
+
+
+def test_runtime_reports(spark):
+    strings_ = spark.createDataFrame([("p", "PYZ-00.pyz"), ("j", "java/lang/Object")], "binary_id string, value string")
+    sections_ = spark.createDataFrame([("g", 0, ".gopclntab", bytearray(b"x"))], "binary_id string, section_ord int, name string, raw binary")
+    imports = spark.createDataFrame([], "binary_id string, library string, function string")
+    found = runtime.detect(strings_, sections_, imports)
+    got = {r.binary_id: r for r in runtime.reports(found, strings_, sections_, imports).collect()}
+    assert [(a.name, a.detail) for a in got["p"].artifacts] == [("PYZ", "PyInstaller archive marker")] and len(got["p"].actions) == 2
+    assert [(a.name, a.detail) for a in got["g"].artifacts] == [(".gopclntab", "Go metadata section")]
+    assert [(a.name, a.detail) for a in got["j"].artifacts] == [("JVM class reference", "JVM evidence")]
+
+
+def test_patterns_and_types(spark):
+    from quarrykit.operators import inference
+
+    rows = stream(spark, [(0, 1, "push", "rbp", None), (1, 3, "mov", "rbp, rsp", None), (4, 5, "call", "malloc", None), (9, 2, "dec", "ecx", None), (11, 2, "jnz", "x", None)]).withColumn("function_address", F.lit(0))
+    assert {r.pattern for r in inference.patterns(rows).collect()} == {"function_prologue_x86", "function_prologue_x64", "malloc_call", "for_loop"}
+    assert [r.pattern for r in inference.instruction_patterns(rows).collect()] == ["malloc_call"]
+    kinds = [("x86", "mov", "eax, 0xFF"), ("x86", "mov", "eax, 0x100"), ("x86", "mov", "0x10000"), ("x86", "mov", "0x100000000"), ("x86", "lea", "rax, [rbx]"), ("x86", "nop", ""), ("arm", "ldr", "x0"), ("arm", "movz", "x0, 0x5"), ("x86", "mov", "70000"), ("x86", "mov", "0xFFFFFFFFFFFFFFFF")]
+    got = spark.createDataFrame(kinds, "isa string, m string, o string").select(inference.value_type(F.col("isa"), F.col("m"), F.col("o")).alias("k")).collect()
+    assert [r.k for r in got] == ["U8", "U16", "U32", "U64", "Pointer(Void)", "Unknown", "Pointer(Void)", "U8", "U32", "U64"]
+    assert [one(spark, c) for k in ("Array(I8,4)", "Pointer(U8)", "I16") for c in (inference.c_type(F.lit(k)), inference.c_size(F.lit(k)))] == ["char[]", 4, "unsigned char*", 8, "int16_t", 2]
