@@ -136,10 +136,23 @@ def _closed(here: Node, tag: str) -> Node:
     return here
 
 
+def _named(name: str) -> tuple[bool, bool]:
+    """(a name of content, a name of something else). A name with both parts (post-comments, main-nav) is of something
+    else; one that says what its element has (has-sidebar) tells nothing."""
+    likely = unlikely = False
+    for part in name.split():
+        if part.lower().startswith(("has-", "with-", "no-", "is-")):
+            continue
+        if UNLIKELY.search(part):
+            unlikely = True
+        elif LIKELY.search(part):
+            likely = True
+    return likely, unlikely
+
+
 def _weight(node: Node) -> int:
-    if not node.name:
-        return 0
-    return 25 * bool(LIKELY.search(node.name)) - 25 * bool(UNLIKELY.search(node.name))
+    likely, unlikely = _named(node.name)
+    return 25 * likely - 25 * unlikely
 
 
 BASE = {"article": 20, "main": 15, "section": 5, "div": 5, "td": 3, "pre": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "header": -10}
@@ -155,9 +168,9 @@ def _prepared(node: Node, linked: bool = False) -> None:
                 x.parent.chars += x.chars
                 x.parent.link_chars += x.link_chars
             continue
-        if not x.gone and x.tag not in ("body", "html", "article", "main") and x.name and UNLIKELY.search(x.name) and not LIKELY.search(x.name):
+        if not x.gone and x.tag not in ("body", "html", "article", "main") and x.name and _named(x.name) == (False, True):
             x.gone = True
-        if x.tag == "header" and not _within(x, ("article", "main")):
+        if x.tag == "header" and not _within(x, ("article",)):
             x.gone = True
         if x.gone:
             continue
@@ -210,14 +223,15 @@ def best(root: Node) -> Node | None:
     """The container with the most points after the discount for links."""
     scored: dict[int, Node] = {}
     for x in _each(root):
-        direct = x.tag in PARAGRAPHS or x.tag in ("div", "section", "article") and any(isinstance(c, str) and len(c.strip()) >= 25 for c in x.children)
+        own = max((len(c.strip()) for c in x.children if isinstance(c, str)), default=0)
+        direct = x.tag in PARAGRAPHS or x.tag in ("div", "section", "article") and own >= 25 or x.tag in ("body", "#root") and own > 0
         if not direct or x.chars < 1:
             continue
         text = _words(x) if x.tag in PARAGRAPHS else " ".join(c for c in x.children if isinstance(c, str))
         points = (1.0 if len(text) >= 25 else 0.1) + len(COMMAS.findall(text)) + min(len(text) // 100, 3)
         points *= 1 - _density(x)
         up, level = x.parent if x.tag in PARAGRAPHS else x, 0
-        while up is not None and up.tag not in ("#root", "html"):
+        while up is not None and up.tag != "html":
             if id(up) not in scored:
                 scored[id(up)] = up
                 up.score = BASE.get(up.tag, 0) + _weight(up)
