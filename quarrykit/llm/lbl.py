@@ -20,16 +20,16 @@ import numpy as np
 
 from quarrykit.llm import textkit as tk
 
-HEAD = 958
+HEAD = 447
 TAILS = 64
 #: Outputs: head words, then tail classes, then the end; one more context for "before the text".
 SIZE = HEAD + TAILS + 1
 END, START = SIZE - 1, SIZE
-DIM = 24
-NOISE = 64
-BATCH = 2048
-RATE = 0.06
-ROUNDS = 2
+DIM = 16
+NOISE = 32
+BATCH = 1024
+RATE = 0.1
+ROUNDS = 1
 
 
 def tail_class(last: np.ndarray) -> np.ndarray:
@@ -37,6 +37,13 @@ def tail_class(last: np.ndarray) -> np.ndarray:
     return (tk.mix(last.astype(np.uint64)) % np.uint64(TAILS)).astype(np.int64)
 
 
+def _gathered(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``rows`` by their place among n."""
+    width = rows.shape[1]
+    flat = (at[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(flat, weights=rows.ravel(), minlength=n * width).reshape(n, width).astype(np.float32)
+
+
 @dataclass
 class Model:
     unigram: np.ndarray  # of outputs
@@ -44,6 +51,7 @@ class Model:
     c: np.ndarray = field(default=None)
     q: np.ndarray = field(default=None)
     b: np.ndarray = field(default=None)
+    squares: dict = field(default=None)  # of gradients so far
 
     @staticmethod
     def fresh(counts: np.ndarray) -> Model:
@@ -64,10 +72,12 @@ class Model:
         return self.c[0] * self.r[u] + self.c[1] * self.r[v]
 
     def train(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
-        """One pass over (two outputs before, output), in batches; AdaGrad steps."""
+        """One pass over (two outputs before, output), in batches; AdaGrad steps, whose state goes on from call to call."""
         noise_p = np.log(self.unigram * NOISE).astype(np.float32)
         cumulative = np.cumsum(self.unigram)
-        g = {k: np.full(getattr(self, k).shape, 0.1, dtype=np.float32) for k in "rcqb"}
+        if self.squares is None:
+            self.squares = {k: np.full(getattr(self, k).shape, 0.1, dtype=np.float32) for k in "rcqb"}
+        g = self.squares
         for s in range(0, len(w), BATCH):
             x, y, t = u[s : s + BATCH], v[s : s + BATCH], w[s : s + BATCH]
             k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), SIZE - 1)
@@ -78,14 +88,11 @@ class Model:
             dp = 1 / (1 + np.exp(np.clip(pos, -30, 30)))
             dn = -1 / (1 + np.exp(np.clip(-neg, -30, 30)))
             grad_p = dp[:, None] * self.q[t] + dn @ self.q[k]
-            dq = np.zeros_like(self.q)
-            np.add.at(dq, t, dp[:, None] * p)
+            dq = _gathered(dp[:, None] * p, t, SIZE)
             np.add.at(dq, k, dn.T @ p)
             db = np.bincount(t, weights=dp, minlength=SIZE).astype(np.float32)
             db += np.bincount(k, weights=dn.sum(axis=0), minlength=SIZE).astype(np.float32)
-            dr = np.zeros_like(self.r)
-            np.add.at(dr, x, grad_p * self.c[0])
-            np.add.at(dr, y, grad_p * self.c[1])
+            dr = _gathered(np.concatenate([grad_p * self.c[0], grad_p * self.c[1]]), np.concatenate([x, y]), SIZE + 1)
             dc = np.stack([(grad_p * self.r[x]).sum(axis=0), (grad_p * self.r[y]).sum(axis=0)])
             for name, d in (("r", dr), ("c", dc), ("q", dq), ("b", db)):
                 d /= len(t) ** 0.5

@@ -8,7 +8,7 @@ Tokens: words lower-cased in A-Z, and one end a text. Texts whose crc32 of the i
 3. A pass scores every text. Words beyond the dictionary are left as (text, word, times) rows, which meet the count table
    by word: none of them is frequent, so no task is hot.
 
-Memory in a task: the dictionary, one batch of texts, and the normalisers of the contexts (4 MB). Defined results: null
+Memory in a task: the dictionary, one batch of texts, and the normalisers of the contexts (1 MB). Defined results: null
 and blank texts are one end token; rows without an id are held out if crc32 of the empty text says so (it does not);
 repeated rows count as often as they stand; an empty table gives no rows.
 """
