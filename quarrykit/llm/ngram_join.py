@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm import signature_tree as st
 from quarrykit.llm import textkit as tk
-from quarrykit.llm.graph import components, with_group
+from quarrykit.llm.graph import components, most_frequent, with_group
 from quarrykit.llm.storage import dropped, written
 
 HOT = 1 << 16
@@ -65,8 +65,10 @@ def hot_shingles(docs: DataFrame, n: int, text: str) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(h[c > 1].view(np.int64)), pa.array(c[c > 1])], names=["h", "c"])
 
     seen = docs.select(text).mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HOT_LEAST)
-    rows = seen.orderBy(F.desc("c"), "h").limit(HOT).toPandas()  # bounded by HOT
-    h = rows["h"].to_numpy(dtype=np.int64).view(np.uint64)[::-1]
+    seen = written(seen, "shared")
+    rows = most_frequent(seen, "c", HOT).toPandas().sort_values(["c", "h"])  # bounded by HOT
+    dropped(seen)
+    h = rows["h"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(h)
     return np.stack([h[order], order.astype(np.uint64)])
 
