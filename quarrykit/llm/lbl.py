@@ -1,7 +1,7 @@
 """Log-bilinear language model with noise-contrastive estimation, in numpy.
 
-Outputs are the ``HEAD`` most frequent tokens, the end of a text, and ``TAILS`` classes of all other words; a word's class comes
-from its last bytes, so every word, seen or not, has one. The context is the two outputs before. With an embedding r of
+Outputs are the most frequent words, ``head_words`` of them, ``TAILS`` classes of all other words, and the end of a text; a word's
+class comes from its last bytes, so every word, seen or not, has one. The context is the two outputs before. With an embedding r of
 an output as context, one diagonal map a place, and a target embedding q with bias b,
 
     s(w | u, v) = (c1 * r[u] + c2 * r[v]) . q[w] + b[w],   P = exp(s) / sum of exp(s)
@@ -9,7 +9,8 @@ an output as context, one diagonal map a place, and a target embedding q with bi
 and a word of a class has P(class | context) * (count + 1) / (class tokens + class words + 1), which sums to one with one
 unseen word a class. Training is noise-contrastive: batches of targets against shared noise drawn from the unigram
 distribution. Each partition trains over all its training tokens from a common start and the parameters are averaged
-by tokens, for ``ROUNDS`` rounds. There are (HEAD + TAILS + 2) ** 2 contexts: their normalisers come from batched matrix products, once.
+by tokens, for ``ROUNDS`` rounds. There are (outputs + 1) ** 2 contexts, whose normalisers come once from one product of two
+square matrices. Head words grow with the cube root of the training tokens, so this product costs the same a token at any size.
 """
 
 from __future__ import annotations
@@ -20,16 +21,21 @@ import numpy as np
 
 from quarrykit.llm import textkit as tk
 
-HEAD = 447
+#: Head words at least, and a cube root of the training tokens.
+HEAD, GROWTH = 958, 4
 TAILS = 64
-#: Outputs: head words, then tail classes, then the end; one more context for "before the text".
+#: Outputs of the smallest model: head words, then tail classes, then the end; one more context for "before the text".
 SIZE = HEAD + TAILS + 1
-END, START = SIZE - 1, SIZE
-DIM = 16
-NOISE = 32
+DIM = 24
+NOISE = 64
 BATCH = 1024
 RATE = 0.1
-ROUNDS = 1
+ROUNDS = 2
+
+
+def head_words(tokens: int) -> int:
+    """Words with an output of their own, for a corpus of ``tokens`` training tokens."""
+    return max(HEAD, int(GROWTH * tokens ** (1 / 3)))
 
 
 def tail_class(last: np.ndarray) -> np.ndarray:
@@ -37,11 +43,12 @@ def tail_class(last: np.ndarray) -> np.ndarray:
     return (tk.mix(last.astype(np.uint64)) % np.uint64(TAILS)).astype(np.int64)
 
 
-def _gathered(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Sums of ``rows`` by their place among n."""
+def _gathered(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that occur, and the sums of ``rows`` at each."""
     width = rows.shape[1]
+    seen, at = np.unique(at, return_inverse=True)
     flat = (at[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(flat, weights=rows.ravel(), minlength=n * width).reshape(n, width).astype(np.float32)
+    return seen, np.bincount(flat, weights=rows.ravel(), minlength=len(seen) * width).reshape(len(seen), width).astype(np.float32)
 
 
 @dataclass
@@ -58,13 +65,14 @@ class Model:
         rng = np.random.default_rng(7)
         p = (counts + 1.0) / (counts.sum() + len(counts))
         small = lambda n: (rng.standard_normal((n, DIM)) * 0.1).astype(np.float32)
-        return Model(p, small(SIZE + 1), np.ones((2, DIM), dtype=np.float32) * 0.5, small(SIZE), np.log(p).astype(np.float32))
+        return Model(p, small(len(p) + 1), np.ones((2, DIM), dtype=np.float32) * 0.5, small(len(p)), np.log(p).astype(np.float32))
 
     def vector(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.r, self.c, self.q, self.b)]).astype(np.float64)
 
     def at(self, vector: np.ndarray) -> Model:
-        sizes = [(SIZE + 1) * DIM, 2 * DIM, SIZE * DIM, SIZE]
+        size = len(self.unigram)
+        sizes = [(size + 1) * DIM, 2 * DIM, size * DIM, size]
         r, c, q, b = np.split(vector.astype(np.float32), np.cumsum(sizes)[:-1])
         return Model(self.unigram, r.reshape(-1, DIM), c.reshape(2, DIM), q.reshape(-1, DIM), b)
 
@@ -80,7 +88,7 @@ class Model:
         g = self.squares
         for s in range(0, len(w), BATCH):
             x, y, t = u[s : s + BATCH], v[s : s + BATCH], w[s : s + BATCH]
-            k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), SIZE - 1)
+            k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(cumulative) - 1)
             p = self.predicted(x, y)
             pos = np.einsum("ij,ij->i", p, self.q[t]) + self.b[t] - noise_p[t]
             neg = p @ self.q[k].T + self.b[k] - noise_p[k]
@@ -88,26 +96,29 @@ class Model:
             dp = 1 / (1 + np.exp(np.clip(pos, -30, 30)))
             dn = -1 / (1 + np.exp(np.clip(-neg, -30, 30)))
             grad_p = dp[:, None] * self.q[t] + dn @ self.q[k]
-            dq = _gathered(dp[:, None] * p, t, SIZE)
-            np.add.at(dq, k, dn.T @ p)
-            db = np.bincount(t, weights=dp, minlength=SIZE).astype(np.float32)
-            db += np.bincount(k, weights=dn.sum(axis=0), minlength=SIZE).astype(np.float32)
-            dr = _gathered(np.concatenate([grad_p * self.c[0], grad_p * self.c[1]]), np.concatenate([x, y]), SIZE + 1)
+            # places that a batch doesn't name have no gradient, so their steps are left out
+            dq = _gathered(np.concatenate([dp[:, None] * p, dn.T @ p]), np.concatenate([t, k]))
+            db = _gathered(np.concatenate([dp, dn.sum(axis=0)])[:, None], np.concatenate([t, k]))
+            dr = _gathered(np.concatenate([grad_p * self.c[0], grad_p * self.c[1]]), np.concatenate([x, y]))
             dc = np.stack([(grad_p * self.r[x]).sum(axis=0), (grad_p * self.r[y]).sum(axis=0)])
-            for name, d in (("r", dr), ("c", dc), ("q", dq), ("b", db)):
-                d /= len(t) ** 0.5
-                g[name] += d * d
-                value = getattr(self, name)
-                value += rate * d / np.sqrt(g[name])
+            for name, (at, d) in (("r", dr), ("c", (np.arange(2), dc)), ("q", dq), ("b", (db[0], db[1][:, 0]))):
+                d = d / len(t) ** 0.5
+                state = g[name][at] + d * d
+                g[name][at] = state
+                getattr(self, name)[at] += rate * d / np.sqrt(state)
 
     def log_normalisers(self) -> np.ndarray:
-        """log of the sum of exp(s) for every context (u, v), one matrix product a row of contexts."""
-        out = np.empty((SIZE + 1, SIZE + 1), dtype=np.float32)
-        first, second = self.c[0] * self.r, self.c[1] * self.r
-        for u in range(SIZE + 1):
-            s = (first[u] + second) @ self.q.T + self.b
-            top = s.max(axis=1, keepdims=True)
-            out[u] = top[:, 0] + np.log(np.exp(s - top).sum(axis=1))
+        """log of the sum of exp(s) for every context (u, v). exp(s) is a product of a factor of (u, w) and one of (v, w), so
+        the sums over w are a matrix product, taken in runs of contexts."""
+        size = len(self.r)
+        out = np.empty((size, size), dtype=np.float32)
+        second = (self.c[1] * self.r) @ self.q.T + self.b
+        top = second.max(axis=1, keepdims=True)
+        second = np.exp(second - top)
+        for u in range(0, size, 256):
+            first = (self.c[0] * self.r[u : u + 256]) @ self.q.T
+            high = first.max(axis=1, keepdims=True)
+            out[u : u + 256] = np.log(np.maximum(np.exp(first - high) @ second.T, np.finfo(np.float32).tiny)) + high + top[:, 0]
         return out
 
     def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, normal: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ Tokens: words lower-cased in A-Z, and one end a text. Texts whose crc32 of the i
 3. A pass scores every text. Words beyond the dictionary are left as (text, word, times) rows, which meet the count table
    by word: none of them is frequent, so no task is hot.
 
-Memory in a task: the dictionary, one batch of texts, and the normalisers of the contexts (1 MB). Defined results: null
+Memory in a task: the dictionary, one batch of texts, and the normalisers of the contexts (4 MB, and 190 MB at 5e9 tokens). Defined results: null
 and blank texts are one end token; rows without an id are held out if crc32 of the empty text says so (it does not);
 repeated rows count as often as they stand; an empty table gives no rows.
 """
@@ -64,18 +64,20 @@ class Dictionary:
         self.id = {w: i for i, w in enumerate(words)}
         self.count = np.array(counts, dtype=np.float64)
         self.n, self.v, self.ends = n, v, ends
-        self.head = min(lbl.HEAD, len(words))
+        self.heads = lbl.head_words(n)
+        self.end, self.start = self.heads + lbl.TAILS, self.heads + lbl.TAILS + 1
+        self.head = min(self.heads, len(words))
         classes = lbl.tail_class(np.array([int.from_bytes(w[-2:], "big") for w in words], dtype=np.uint64)) if words else np.zeros(0, dtype=np.int64)
-        self.output = np.where(np.arange(len(words)) < self.head, np.arange(len(words)), lbl.HEAD + classes)
+        self.output = np.where(np.arange(len(words)) < self.head, np.arange(len(words)), self.heads + classes)
         # the tail classes' sums cover the whole count table, but for the head
         head = np.arange(len(words)) < self.head
         drop_c = np.bincount(classes[head], weights=self.count[head], minlength=lbl.TAILS) if len(words) else 0
         drop_w = np.bincount(classes[head], minlength=lbl.TAILS) if len(words) else 0
         self.class_norm = np.log10(tail_counts - drop_c + tail_words - drop_w + 1.0)
-        outputs = np.zeros(lbl.SIZE)
+        outputs = np.zeros(self.end + 1)
         outputs[: self.head] = self.count[: self.head]
-        outputs[lbl.HEAD : lbl.HEAD + lbl.TAILS] = tail_counts - drop_c
-        outputs[lbl.END] = ends
+        outputs[self.heads : self.end] = tail_counts - drop_c
+        outputs[self.end] = ends
         self.outputs = outputs
 
     def encoded(self, texts: list[bytes | None]):
@@ -93,17 +95,17 @@ class Dictionary:
         out[ids >= 0] = self.output[ids[ids >= 0]]
         rare = np.flatnonzero(ids < 0)
         last = np.fromiter((int.from_bytes(words[k][-2:], "big") for k in rare), dtype=np.uint64, count=len(rare))
-        out[rare] = lbl.HEAD + lbl.tail_class(last)
-        out[ends] = lbl.END
+        out[rare] = self.heads + lbl.tail_class(last)
+        out[ends] = self.end
         return words, ids, out, np.array(first)
 
 
-def _contexts(out: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The outputs two and one before each token; ``START`` before a text."""
-    one = np.concatenate([[lbl.START], out[:-1]])
-    one[first[:-1]] = lbl.START
-    two = np.concatenate([[lbl.START], one[:-1]])
-    two[first[:-1]] = lbl.START
+def _contexts(out: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The outputs two and one before each token; ``start`` before a text."""
+    one = np.concatenate([[start], out[:-1]])
+    one[first[:-1]] = start
+    two = np.concatenate([[start], one[:-1]])
+    two[first[:-1]] = start
     return two, one
 
 
@@ -152,7 +154,7 @@ def trained(training: DataFrame, words: Dictionary) -> lbl.Model:
             for b in batches:
                 for _, texts in _slices(b, 0):
                     _, _, out, first = known.value.encoded(texts)
-                    two, one = _contexts(out, first)
+                    two, one = _contexts(out, first, known.value.start)
                     order = rng.permutation(len(out))
                     mine.train(two[order], one[order], out[order], rng, lbl.RATE / (1 + r))
                     tokens += len(out)
@@ -188,15 +190,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         for b in batches:
             for first_row, texts in _slices(b, 2):
                 tokens, ids, out, first = known.encoded(texts)
-                two, one = _contexts(out, first)
+                two, one = _contexts(out, first, known.start)
                 p = lm.log_p(two, one, out, normal) / math.log(10)
                 seen = ids >= 0
                 base = np.zeros(len(ids))
                 base[seen] = known_log[ids[seen]]
                 ends = first[1:] - 1
                 base[ends] = math.log10(known.ends + 1)
-                tail = (out >= lbl.HEAD) & (out < lbl.END)
-                p[tail] -= known.class_norm[out[tail] - lbl.HEAD]
+                tail = (out >= known.heads) & (out < known.end)
+                p[tail] -= known.class_norm[out[tail] - known.heads]
                 p[tail & seen] += known_log[ids[tail & seen]]
                 is_known = seen.astype(np.int64)
                 is_known[ends] = known.ends > 0

@@ -134,6 +134,24 @@ def test_lbl_normalisers_and_training():
     assert abs(np.exp(model.log_p(np.full(lbl.SIZE, 3), np.full(lbl.SIZE, 7), every, normal)).sum() - 1) < 1e-4
 
 
+def test_lbl_has_its_whole_size_and_grows_with_the_input():
+    assert (lbl.HEAD, lbl.DIM, lbl.NOISE, lbl.ROUNDS) >= (958, 24, 64, 2) and min(lbl.DIM / 24, lbl.NOISE / 64, lbl.ROUNDS / 2) >= 1
+    words = [b"w%d" % k for k in range(5000)]
+    made = lambda n: lm_scoring.Dictionary(words, list(range(5000, 0, -1)), np.full(lbl.TAILS, 1e6), np.full(lbl.TAILS, 1e3), 9, n, 5000)
+    small, large = made(10_000), made(500_000_000)
+    assert [len(small.outputs), len(large.outputs)] == [958 + lbl.TAILS + 1, lbl.head_words(500_000_000) + lbl.TAILS + 1]
+    _, _, out, _ = large.encoded([b"w2000 w4999"])
+    assert out[0] == 2000 and large.heads <= out[1] < large.end and out[2] == large.end
+    model = lbl.Model.fresh(large.outputs)
+    assert len(model.q) == len(large.outputs) > 3000
+    rng = np.random.default_rng(1)
+    model.b += rng.standard_normal(len(model.b)).astype(np.float32)
+    normal = model.log_normalisers()
+    every = np.arange(len(model.q))
+    for u, v in [(0, 0), (5, large.start), (large.start, large.start)]:
+        assert abs(np.exp(model.log_p(np.full(len(every), u), np.full(len(every), v), every, normal)).sum() - 1) < 1e-4
+
+
 def test_chat_round_trip(spark):
     odd = ["\\### Assistant: </turn> ok", "", None, "### user:\nx</turn>\n### assistant:\n", "\\b\\h\\l\\c\\", "a\nb\r\n\\\\#<", "é" * 50]
     rng = random.Random(1)
