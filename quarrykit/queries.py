@@ -150,7 +150,7 @@ def function_xrefs(s, d):
 
 def import_xrefs(s, d):
     names = A.imports(s, d)
-    sites = A.table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("ord"), F.col("l_suppkey").alias("function_address"), F.col("l_orderkey").alias("site"))
+    sites = A.calls(s, d).select(F.col("target_address").alias("ord"), "function_address", "site")
     called = names.join(sites, "ord").select("binary_id", F.lit("import").alias("target_kind"), F.concat("library", F.lit("!"), "function").alias("target_name"), "function_address", "site")
     out = xrefs.import_xrefs(names, xrefs.import_callers(called), behavior.api_insights(names))
     return out.select("binary_id", "library", "function", "address", "category", "severity", F.size("callers").cast("long").alias("n_callers"))

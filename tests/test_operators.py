@@ -6,6 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from quarrykit import queries
 from quarrykit.functions import text as X
 from quarrykit.functions import u64
 from quarrykit.operators import behavior, cfg, instructions, runtime, strings, xrefs
@@ -241,3 +242,11 @@ def test_patterns_and_types(spark):
     got = spark.createDataFrame(kinds, "isa string, m string, o string").select(inference.value_type(F.col("isa"), F.col("m"), F.col("o")).alias("k")).collect()
     assert [r.k for r in got] == ["U8", "U16", "U32", "U64", "Pointer(Void)", "Unknown", "Pointer(Void)", "U8", "U32", "U64"]
     assert [one(spark, c) for k in ("Array(I8,4)", "Pointer(U8)", "I16") for c in (inference.c_type(F.lit(k)), inference.c_size(F.lit(k)))] == ["char[]", 4, "unsigned char*", 8, "int16_t", 2]
+
+
+def test_import_xrefs_counts_every_call_site(spark, tmp_path):
+    spark.createDataFrame([(1, "Brand#1"), (2, "Brand#2"), (3, "Brand#3")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    sites = [(o, n, 1 if n < 6 else 2, 10 + o) for o in range(1, 5) for n in range(1, 8)]
+    spark.createDataFrame(sites, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.binary_id: r.n_callers for r in queries.import_xrefs(spark, str(tmp_path)).collect()}
+    assert got == {"Brand#1": 20, "Brand#2": 8, "Brand#3": 0}
