@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.llm import decontam, ngram_join, packing, quality, suffix_dedup
+from quarrykit.llm.graph import with_group
 from quarrykit.llm.storage import dropped, written
 from quarrykit.shipping import ship
 
@@ -20,10 +21,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five words, 0.8): the one with the smallest id."""
-    found = ngram_join.link_components(docs, 5, 4, 5)
-    goes = found.where("id is not null and component_id < id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates (five words, 0.8): the one with the smallest id, nulls last. Every row is a
+    member of its own, so that repeated rows, rows without an id and other texts of the same id are compared too."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = ngram_join.link_components(keyed, 5, 4, 5, row).select(F.col("id").alias(row), "component_id")
+    ranked = found.join(keyed.select(row, "doc_id"), row).select(row, "component_id", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row).alias("place"))
+    goes = with_group(ranked, ["component_id"], row, first=(F.min, "place")).where(F.col(row) != F.col("first")[row]).select(row)
+    return keyed.join(goes, row, "left_anti").select(*docs.columns)
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

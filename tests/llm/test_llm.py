@@ -424,3 +424,21 @@ def test_pipeline_equals_its_brute_force(spark, rows, tmp_path):
     sizes = {r[0]: len(WORD.findall(bytes(b for b, x in zip(r[1].encode(), g) if not x).decode("utf-8", "ignore"))) + 1 for r, g in zip(kept, gone) if r[0] != 500}
     assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == sizes
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "suffix-array dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_pipeline_keeps_one_of_repeated_rows_and_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    texts = [prose(rng, 150, 9000) for _ in range(6)]
+    near = texts[3].split()
+    near[70] = "changed"
+    row = lambda k, t: (k, t, "en", "s", 0)
+    table = [row(1, texts[0])] * 3 + [row(None, texts[1])] * 3 + [row(2, texts[2]), row(None, texts[2]), row(None, texts[3]), row(None, " ".join(near)), row(5, texts[4]), row(4, texts[4]), row(4, texts[5])]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, prose(rng, 40, 9000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = corpus_pipeline.ngram_jaccard(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    got = collections.Counter((r.doc_id, texts.index(r.text) if r.text in texts else 3) for r in stage.collect())
+    assert got == {(1, 0): 1, (None, 1): 1, (2, 2): 1, (None, 3): 1, (4, 4): 1, (4, 5): 1}
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert packed["n_tokens"].sum() == 6 * 151
