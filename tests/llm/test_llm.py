@@ -82,6 +82,15 @@ def test_quality_policies_and_ablation(spark, docs):
         assert (got[rule.name].n_fail, got[rule.name].n_only) == (sum(b & bit != 0 for b in bits), sum(b == bit for b in bits))
 
 
+def test_length_alone_rejects_no_text(spark):
+    book = " ".join(f"word{k}" for k in range(100_050))
+    table = spark.createDataFrame([(1, book)], "doc_id long, text string")
+    got = quality.apply_policy(quality.ledger(table)).first()
+    assert got.kept and got.n_words == 100_050 and got.failure_bits == quality.mask("max_words")
+    assert quality.kept(table).count() == 1
+    assert not quality.apply_policy(quality.ledger(table), "web-1").first().kept
+
+
 def test_quality_hash_candidates_are_verified(spark):
     text = "a b c x a b c y b c x"
     got = quality.ledger(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
