@@ -247,12 +247,30 @@ def best(root: Node) -> Node | None:
     return top
 
 
+def _whole(top: Node) -> Node:
+    """The article (or else the main part) that ``top`` lies in, without the menus beside ``top``; ``top`` itself if there is none."""
+    chain = [top]
+    while chain[-1].parent is not None:
+        chain.append(chain[-1].parent)
+    for tag in ("article", "main"):
+        k = next((k for k, x in enumerate(chain) if x.tag == tag), None)
+        if k is not None:
+            for child, holder in zip(chain[:k], chain[1 : k + 1]):
+                for x in holder.children:
+                    if isinstance(x, Node) and x is not child and not x.gone and x.tag in ("div", "section", "ul", "ol", "dl", "table") and _density(x) > 0.5:
+                        x.gone = not any(y.tag in ("h1", "h2") for y in _each(x))
+            return chain[k]
+    return top
+
+
 def _kept(root: Node, top: Node) -> list[Node]:
-    """The best container and the siblings that belong to it, in page order."""
+    """The best container, with the whole article that it lies in, and the siblings that belong to it, in page order."""
+    least = max(10.0, 0.2 * top.score * (1 - _density(top)))
+    if top.tag != "body":
+        top = _whole(top)
     if top.parent is None or top.tag in ("body", "article", "main"):
         if top.tag != "article" or top.parent is None:
             return [top]
-    least = max(10.0, 0.2 * top.score * (1 - _density(top)))
     out = []
     for x in top.parent.children:
         if x is top:

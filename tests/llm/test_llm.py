@@ -304,6 +304,15 @@ def test_html_main_text(spark):
     assert all(r.text == "" for r in got if r.page_id in (2, 3))
 
 
+def test_html_keeps_the_whole_article():
+    long = "".join(f"<p>Paragraph {k}, of some length, with commas, and words enough to score well in this page.</p>" for k in range(12))
+    inner = f'<h1>The title</h1><div class="content">{long}</div><h2>Part two</h2><blockquote>A quoted line</blockquote><pre>x = 1</pre><section><p>A short end</p></section><div><a href="/a">See this</a> <a href="/b">See that</a></div>'
+    for page in (f"<body><article>{inner}</article></body>", f"<body><main><div>{inner}</div></main></body>", f"<body><article><section>{inner}</section></article></body>"):
+        lines = html_text.main_text(page).split("\n")
+        assert [x for x in lines if not x.startswith("Paragraph")] == ["The title", "Part two", "A quoted line", "x = 1", "A short end"]
+        assert lines[0] == "The title" and len(lines) == 17
+
+
 def repeats(texts):
     seen = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
     out = []
