@@ -250,3 +250,23 @@ def test_import_xrefs_counts_every_call_site(spark, tmp_path):
     spark.createDataFrame(sites, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.binary_id: r.n_callers for r in queries.import_xrefs(spark, str(tmp_path)).collect()}
     assert got == {"Brand#1": 20, "Brand#2": 8, "Brand#3": 0}
+
+
+def test_images_have_no_limit_of_names_exports_or_size(spark):
+    import inspect
+
+    assert binaries._text(b"\1" + b"n" * 10_000 + b"\0x", 1) == "n" * 10_000
+    n, names_at = 70_000, 40 + 70_000 * 10
+    body = bytearray(struct.pack("<IIHHIIIIIII", 0, 0, 0, 0, 0, 1, n, n, 0x1000 + 40, 0x1000 + 40 + 4 * n, 0x1000 + 40 + 8 * n))
+    body += b"".join(struct.pack("<I", 1 + k) for k in range(n)) + struct.pack("<I", 0x1000 + names_at) * n + b"".join(struct.pack("<H", k & 0xFFFF) for k in range(n)) + b"f\0"
+    optional = struct.pack("<HBBIIIIIII", 0x10B, 0, 0, 0, 0, 0, 0, 0, 0, 0x400000).ljust(92, b"\0") + struct.pack("<III", 1, 0x1000, 40)
+    head = b"MZ".ljust(0x3C, b"\0") + struct.pack("<I", 0x40) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x14C, 1, 0, 0, 0, len(optional), 0) + optional
+    head += b".rdata\0\0" + struct.pack("<IIII", len(body), 0x1000, len(body), 0x400) + bytes(12) + struct.pack("<I", 0x40)
+    assert len(binaries.parse(bytes(head.ljust(0x400, b"\0") + body))["exports"]) == n
+    for f in (binaries.read, binaries.identified):
+        assert inspect.signature(f).parameters["most_bytes"].default == binaries.MOST_BYTES > 2_147_000_000
+    files = spark.createDataFrame([("a", (1 << 28) + 1, bytearray(b"MZ")), ("b", 1 << 31, None), ("c", 0, bytearray())], "path string, length long, content binary")
+    found = binaries.identified(files)
+    assert {r.path: r.content is None for r in found.collect()} == {"a": False, "b": True, "c": False}
+    why = {r.path: r.error for r in binaries.parsed(found).collect()}
+    assert why["b"] == "too large" and why["a"] != "too large" and why["c"] == "unknown format"
