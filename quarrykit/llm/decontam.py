@@ -14,8 +14,9 @@ item's own words in line with the text (and two words to either side). No other
 
 The benchmark's index (a few hundred bytes an item, bounded by the benchmark, whose size is checked) is broadcast; texts
 are read once, whole, without a shuffle. Defined results: null, blank and shorter texts match nothing unless they are
-the whole item; items under five words are one shingle; blank or null items match nothing; empty tables work; repeated
-rows pass one by one.
+the whole item; items under five words are one shingle of their own length, looked up at every place of a text; items
+without an id count as others do (their hits have a null id); blank or null items match nothing; empty tables work;
+repeated rows pass one by one.
 """
 
 from __future__ import annotations
@@ -61,11 +62,17 @@ class Index:
     """Items, their shingles with weights, and the Hamming tables."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        rows = [(i, plain(t)) for i, t in rows if i is not None and t is not None]
+        rows = [(i, plain(t)) for i, t in rows if t is not None]
         words = tk.Words([t for _, t in rows])
         h, first = words.shingles(N)
-        alive = np.flatnonzero(words.n > 0)
-        self.ids = np.array([rows[k][0] for k in alive], dtype=np.int64)
+        alive = np.flatnonzero(words.n >= N)
+        self.ids = [rows[k][0] for k in alive]
+        # items under N words: length -> hash -> ids
+        self.short: dict[int, dict[int, list]] = {}
+        for m in range(1, N):
+            own, at = words.shingles(m)
+            for k in np.flatnonzero(words.n == m).tolist():
+                self.short.setdefault(m, {}).setdefault(int(own[at[k]]), []).append(rows[k][0])
         self.n_words = words.n[alive]
         self.sets = [np.unique(h[first[k] : first[k + 1]]) for k in alive]
         owner = np.repeat(np.arange(len(alive)), [len(s) for s in self.sets])
@@ -137,8 +144,22 @@ class Index:
                 similarity = both / (w.sum() + self.total[item] - both)
                 if similarity >= THRESHOLD and similarity > best.get(item, (0, 0, 0, 0, 0.0))[4]:
                     distance = int(np.bitwise_count(self.prints[item] ^ fingerprint).sum())
-                    best[item] = (int(self.ids[item]), s, m, distance, float(similarity))
-        return sorted(best.values())
+                    best[item] = (self.ids[item], s, m, distance, float(similarity))
+        return list(best.values())
+
+    def short_hits(self, words: tk.Words) -> dict[int, list[tuple[int, int, int, int, float]]]:
+        """For each text that holds items under ``N`` words: these items, at their first places."""
+        out: dict[int, list] = {}
+        for m, items in self.short.items():
+            h, first = words.shingles(m)
+            text_of = np.repeat(np.arange(len(words.n)), np.diff(first))
+            at = np.flatnonzero(np.isin(h, np.array(list(items), dtype=np.uint64)) & (words.n[text_of] >= m))
+            seen = set()
+            for p, k, value in zip(at.tolist(), text_of[at].tolist(), h[at].tolist()):
+                if (k, value) not in seen:
+                    seen.add((k, value))
+                    out.setdefault(k, []).extend((i, p - int(first[k]), m, 0, 1.0) for i in items[value])
+        return out
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,9 +181,11 @@ def scanned(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text:
             some = np.zeros(len(h) + 1, dtype=np.int64)
             some[1:][index.value.known(h)] = 1
             some = np.cumsum(some)
+            short = index.value.short_hits(words)
             for k in range(len(held)):
                 a, b = first[k], first[k + 1]
                 found = index.value.hits(h[a:b], int(words.n[k])) if some[b] > some[a] else []
+                found = sorted(found + short.get(k, []), key=lambda x: (x[0] is None, x[0] or 0, x[1:]))
                 out.append([dict(zip(("item_id", "start_word", "n_words", "hamming", "similarity"), x)) for x in found])
         return pd.Series(out)
 

@@ -406,6 +406,17 @@ def test_decontamination(spark):
     assert decontam.scanned(df.limit(0), bench).count() == 0 and decontam.clean(df, bench.limit(0)).count() == len(docs)
 
 
+def test_decontamination_finds_short_items_and_items_without_an_id(spark):
+    rng = random.Random(8)
+    long = prose(rng, 30, 5000)
+    bench = spark.createDataFrame([(1, "Tiny item"), (2, "four words of it"), (None, long), (3, "one"), (None, "rare pair")], "item_id long, text string")
+    texts = [f"{prose(rng, 40)} tiny, ITEM {prose(rng, 40)} tiny item", "tiny", f"{prose(rng, 9)} four words of it", f"{prose(rng, 9)} {long}", "four words of", None, f"x one {prose(rng, 5)} rare pair"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(h.item_id, h.start_word, h.n_words) for h in r.hits] for r in decontam.scanned(docs, bench).collect()}
+    assert got == {0: [(1, 40, 2)], 1: [], 2: [(2, 9, 4)], 3: [(None, 9, 30)], 4: [], 5: [], 6: [(3, 1, 1), (None, 7, 2)]}
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {1, 4, 5}
+
+
 def test_hamming_blocks_find_all_within_the_radius():
     rng = np.random.default_rng(3)
     index = decontam.Index([(k, " ".join(f"a{rng.integers(999)}" for _ in range(30))) for k in range(50)])
