@@ -1,36 +1,43 @@
-"""Log-bilinear language model with noise-contrastive estimation, in numpy.
+"""Class-factored log-bilinear language model with noise-contrastive estimation, in numpy.
 
-Outputs are the most frequent words, ``head_words`` of them, ``TAILS`` classes of all other words, and the end of a text; a word's
-class comes from its last bytes, so every word, seen or not, has one. The context is the two outputs before. With an embedding r of
-an output as context, one diagonal map a place, and a target embedding q with bias b,
+Units are the most frequent words (``head_words`` of them), the classes of all other words, and the end of a text. The context is the
+two units before. A word's probability has two factors, each a normalised log-bilinear model with a diagonal map a place:
 
-    s(w | u, v) = (c1 * r[u] + c2 * r[v]) . q[w] + b[w],   P = exp(s) / sum of exp(s)
+    P(unit | u, v)        ~ exp((c1 * r[u] + c2 * r[v]) . q[unit] + b[unit])                over all units
+    P(word | class, u, v) ~ exp((d1 * r[u] + d2 * r[v]) . t[slot] + e[slot])                over the slots of the class
 
-and a word of a class has P(class | context) * (count + 1) / (class tokens + class words + 1), which sums to one with one
-unseen word a class. Training is noise-contrastive: batches of targets against shared noise drawn from the unigram
-distribution. Each partition trains over all its training tokens from a common start and the parameters are averaged
-by tokens, for ``ROUNDS`` rounds. There are (outputs + 1) ** 2 contexts, whose normalisers come once from one product of two
-square matrices. Head words grow with the cube root of the training tokens, so this product costs the same a token at any size.
+A class has a slot for each word of it that the dictionary knows, and one for the rest; of the rest, a word has the share
+(count + 1) / (tokens + words + 1), which sums to one with one unseen word a class. So every word of the dictionary has an
+embedding of its own, and every other one, seen or not, has a class: classes are ranges in the order of words' last two bytes
+with even token mass, and parts by hash of endings that hold more, so mostly words with one ending share a class.
+
+Training is noise-contrastive: batches of targets against shared noise drawn from the units' distribution, and words of a class in
+blocks against shared noise drawn from that class. Both factors start at the smoothed unigrams. Normalisers of all (u, v) come once
+from a product of two matrices; those of words in a class from one product a class over a batch of texts.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
-from quarrykit.llm import textkit as tk
-
-#: Head words at least, and a cube root of the training tokens.
+#: Head words at least, and cube roots of the training tokens.
 HEAD, GROWTH = 958, 4
-TAILS = 64
-#: Outputs of the smallest model: head words, then tail classes, then the end; one more context for "before the text".
-SIZE = HEAD + TAILS + 1
+#: Classes of the other words, about.
+CLASSES = 512
 DIM = 24
-NOISE = 64
-BATCH = 1024
-RATE = 0.1
+NOISE, CLASS_NOISE = 64, 8
+#: Targets of a class that share their noise.
+SHARING = 8
+BATCH = 4096
+RATE, CLASS_RATE = 0.15, 0.5
 ROUNDS = 2
+#: Where the sums of squared gradients begin.
+SQUARE = np.float32(0.1)
+_POOL = 1 << 20
 
 
 def head_words(tokens: int) -> int:
@@ -38,93 +45,199 @@ def head_words(tokens: int) -> int:
     return max(HEAD, int(GROWTH * tokens ** (1 / 3)))
 
 
-def tail_class(last: np.ndarray) -> np.ndarray:
-    """Of words' last two bytes, as a number."""
-    return (tk.mix(last.astype(np.uint64)) % np.uint64(TAILS)).astype(np.int64)
+ENDINGS = 1 << 16
+
+
+def ending(word: bytes) -> int:
+    """A word's place in the order of endings: its last byte, then the one before."""
+    return (word[-1] << 8) + (word[-2] if len(word) > 1 else 0)
+
+
+class Classes:
+    """Ranges of endings with even token mass; an ending of more than that is dealt to several classes by a hash."""
+
+    def __init__(self, tokens: np.ndarray):
+        """``tokens``: of the words of each ending."""
+        even = max(tokens.sum(), 1.0) / CLASSES
+        self.parts = np.maximum(1, np.round(tokens / even)).astype(np.int64)
+        many = self.parts > 1
+        # a range ends where its mass is even, and around each ending that has classes of its own
+        upto = np.cumsum(np.where(many, 0, tokens))
+        kind = np.floor(upto / even) + np.cumsum(many) + np.concatenate([[0], np.cumsum(many)[:-1]])
+        new = np.concatenate([[False], kind[1:] != kind[:-1]])
+        before = np.concatenate([[1], self.parts[:-1]])
+        self.base = np.cumsum(np.where(new, before, 0))
+        self.n = int(self.base[-1] + self.parts[-1])
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        e = np.fromiter(map(ending, words), dtype=np.int64, count=len(words))
+        parts = self.parts[e]
+        out = self.base[e]
+        many = np.flatnonzero(parts > 1)
+        h = np.fromiter((zlib.crc32(words[k]) for k in many), dtype=np.int64, count=len(many))
+        out[many] += h * parts[many] >> 32
+        return out
+
+
+def _gathered(rows: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places below ``size`` that occur, and the sums of ``rows`` at each."""
+    held = np.zeros(size, dtype=np.int32)
+    held[at] = 1
+    seen = np.flatnonzero(held)
+    held[seen] = np.arange(len(seen))
+    at = held.take(at)
+    out = np.empty((rows.shape[1], len(seen)), dtype=np.float32)
+    for k, column in enumerate(rows.T.astype(np.float64)):
+        out[k] = np.bincount(at, weights=column, minlength=len(seen))
+    return seen, np.ascontiguousarray(out.T)
+
 
+def _blocks(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, place there, kind of each block): ``SHARING`` neighbours of a kind at most make a block. ``kind`` rises."""
+    new = np.concatenate([[True], kind[1:] != kind[:-1]])
+    run, start = np.cumsum(new) - 1, np.flatnonzero(new)
+    rank = np.arange(len(kind)) - start[run]
+    count = -(-np.diff(np.append(start, len(kind))) // SHARING)
+    base = np.cumsum(count) - count
+    return base[run] + rank // SHARING, rank % SHARING, np.repeat(kind[start], count)
 
-def _gathered(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places that occur, and the sums of ``rows`` at each."""
-    width = rows.shape[1]
-    seen, at = np.unique(at, return_inverse=True)
-    flat = (at[:, None] * width + np.arange(width)).ravel()
-    return seen, np.bincount(flat, weights=rows.ravel(), minlength=len(seen) * width).reshape(len(seen), width).astype(np.float32)
+
+def _sure(score: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
 
 
 @dataclass
 class Model:
-    unigram: np.ndarray  # of outputs
+    unigram: np.ndarray  # of units
+    first: np.ndarray  # first slot of each class, and the end
+    share: np.ndarray  # of slots in their class
     r: np.ndarray = field(default=None)
     c: np.ndarray = field(default=None)
     q: np.ndarray = field(default=None)
-    b: np.ndarray = field(default=None)
+    d: np.ndarray = field(default=None)
+    t: np.ndarray = field(default=None)
     squares: dict = field(default=None)  # of gradients so far
 
     @staticmethod
-    def fresh(counts: np.ndarray) -> Model:
+    def fresh(units: np.ndarray, first: np.ndarray, slots: np.ndarray) -> Model:
+        """From token counts of units and slots. The last column of ``q`` and ``t`` is the bias."""
         rng = np.random.default_rng(7)
-        p = (counts + 1.0) / (counts.sum() + len(counts))
+        p = (units + 1.0) / (units.sum() + len(units))
+        s = slots + 1.0
+        s /= np.repeat(np.add.reduceat(s, first[:-1]), np.diff(first)) if len(s) else 1.0
         small = lambda n: (rng.standard_normal((n, DIM)) * 0.1).astype(np.float32)
-        return Model(p, small(len(p) + 1), np.ones((2, DIM), dtype=np.float32) * 0.5, small(len(p)), np.log(p).astype(np.float32))
-
-    def vector(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.c, self.q, self.b)]).astype(np.float64)
-
-    def at(self, vector: np.ndarray) -> Model:
-        size = len(self.unigram)
-        sizes = [(size + 1) * DIM, 2 * DIM, size * DIM, size]
-        r, c, q, b = np.split(vector.astype(np.float32), np.cumsum(sizes)[:-1])
-        return Model(self.unigram, r.reshape(-1, DIM), c.reshape(2, DIM), q.reshape(-1, DIM), b)
-
-    def predicted(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return self.c[0] * self.r[u] + self.c[1] * self.r[v]
-
-    def train(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, rng: np.random.Generator, rate: float = RATE) -> None:
-        """One pass over (two outputs before, output), in batches; AdaGrad steps, whose state goes on from call to call."""
+        biased = lambda x, bias: np.concatenate([x, np.log(bias)[:, None].astype(np.float32)], axis=1)
+        maps = np.full((2, DIM), 0.5, dtype=np.float32)
+        return Model(p, first, s, small(len(p) + 1), maps, biased(small(len(p)), p), maps.copy(), biased(np.zeros((len(s), DIM), dtype=np.float32), s))
+
+    @property
+    def tables(self) -> dict[str, np.ndarray]:
+        return {k: getattr(self, k) for k in "rcqdt"}
+
+    def copy(self) -> Model:
+        return Model(self.unigram, self.first, self.share, **{k: v.copy() for k, v in self.tables.items()})
+
+    def _step(self, name: str, rows: np.ndarray, at: np.ndarray, rate: float) -> None:
+        """AdaGrad by row; rows that a batch doesn't name have no gradient and stay."""
+        table = getattr(self, name)
+        at, g = _gathered(rows, at, len(table))
+        state = self.squares[name][at] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        self.squares[name][at] = state
+        table[at] = table.take(at, axis=0) + (np.float32(rate) / np.sqrt(state))[:, None] * g
+
+    def train(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, rng: np.random.Generator, slow: float = 1.0) -> None:
+        """One pass over (two units before, unit, slot or -1), in batches; the state of the steps goes on from call to call."""
         noise_p = np.log(self.unigram * NOISE).astype(np.float32)
         cumulative = np.cumsum(self.unigram)
+        slot_p = np.log(self.share * CLASS_NOISE).astype(np.float32)
         if self.squares is None:
-            self.squares = {k: np.full(getattr(self, k).shape, 0.1, dtype=np.float32) for k in "rcqb"}
-        g = self.squares
-        for s in range(0, len(w), BATCH):
-            x, y, t = u[s : s + BATCH], v[s : s + BATCH], w[s : s + BATCH]
+            self.squares = {k: np.full(len(x), SQUARE) for k, x in self.tables.items()}
+        pool, segment = self._noise(rng)
+        class_0 = len(self.unigram) - len(self.first)  # the first class's unit; the last unit is the end
+        for s in range(0, len(unit), BATCH):
+            x, y, w, z = (a[s : s + BATCH] for a in (u, v, unit, slot))
             k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(cumulative) - 1)
-            p = self.predicted(x, y)
-            pos = np.einsum("ij,ij->i", p, self.q[t]) + self.b[t] - noise_p[t]
-            neg = p @ self.q[k].T + self.b[k] - noise_p[k]
-            # d(log-likelihood)/ds: 1 - P(data) for the target, -P(data) for each noise output
-            dp = 1 / (1 + np.exp(np.clip(pos, -30, 30)))
-            dn = -1 / (1 + np.exp(np.clip(-neg, -30, 30)))
-            grad_p = dp[:, None] * self.q[t] + dn @ self.q[k]
-            # places that a batch doesn't name have no gradient, so their steps are left out
-            dq = _gathered(np.concatenate([dp[:, None] * p, dn.T @ p]), np.concatenate([t, k]))
-            db = _gathered(np.concatenate([dp, dn.sum(axis=0)])[:, None], np.concatenate([t, k]))
-            dr = _gathered(np.concatenate([grad_p * self.c[0], grad_p * self.c[1]]), np.concatenate([x, y]))
-            dc = np.stack([(grad_p * self.r[x]).sum(axis=0), (grad_p * self.r[y]).sum(axis=0)])
-            for name, (at, d) in (("r", dr), ("c", (np.arange(2), dc)), ("q", dq), ("b", (db[0], db[1][:, 0]))):
-                d = d / len(t) ** 0.5
-                state = g[name][at] + d * d
-                g[name][at] = state
-                getattr(self, name)[at] += rate * d / np.sqrt(state)
+            rx, ry = self.r.take(x, axis=0), self.r.take(y, axis=0)
+            p = self.c[0] * rx + self.c[1] * ry
+            q, qk = self.q.take(w, axis=0), self.q.take(k, axis=0)
+            # d(log-likelihood)/ds: 1 - P(data) for the target, -P(data) for each noise unit
+            dp = 1 - _sure(np.einsum("ij,ij->i", p, q[:, :DIM]) + q[:, DIM] - noise_p[w])
+            dn = -_sure(p @ qk[:, :DIM].T + qk[:, DIM] - noise_p[k])
+            gp = dp[:, None] * q[:, :DIM] + dn @ qk[:, :DIM]
+            scale = np.float32(len(w) ** -0.5)
+            one = lambda a: np.concatenate([a, np.ones((len(a), 1), dtype=np.float32)], axis=1)
+            grad_x, grad_y = gp * self.c[0], gp * self.c[1]
+            new_c = np.stack([(gp * rx).sum(axis=0), (gp * ry).sum(axis=0)])
+            tail = np.flatnonzero(z >= 0)
+            if len(tail):
+                tail = tail[np.argsort((w[tail] - class_0).astype(np.int16), kind="stable")]
+                block, place, kind = _blocks(w[tail] - class_0)
+                px, py, own = rx.take(tail, axis=0), ry.take(tail, axis=0), z[tail]
+                p2 = self.d[0] * px + self.d[1] * py
+                drawn = pool[segment[kind, None] + (rng.random((len(kind), CLASS_NOISE), dtype=np.float32) * (segment[kind + 1] - segment[kind])[:, None]).astype(np.int64)]
+                targets = np.zeros((len(kind), SHARING, DIM + 1), dtype=np.float32)  # with ones for the bias
+                targets[block, place, :DIM], targets[block, place, DIM] = p2, 1
+                noise, t = self.t.take(drawn, axis=0), self.t.take(own, axis=0)
+                dp2 = 1 - _sure(np.einsum("ij,ij->i", p2, t[:, :DIM]) + t[:, DIM] - slot_p[own])
+                dn2 = -_sure(targets @ noise.transpose(0, 2, 1) - slot_p[drawn][:, None, :]) * targets[:, :, DIM:]
+                gp2 = dp2[:, None] * t[:, :DIM] + (dn2 @ noise[:, :, :DIM])[block, place]
+                self._step("t", np.concatenate([dp2[:, None] * one(p2), (dn2.transpose(0, 2, 1) @ targets).reshape(-1, DIM + 1)]), np.concatenate([own, drawn.ravel()]), CLASS_RATE * slow)
+                grad_x[tail] += gp2 * self.d[0]
+                grad_y[tail] += gp2 * self.d[1]
+                self._step("d", np.stack([(gp2 * px).sum(axis=0), (gp2 * py).sum(axis=0)]) * scale, np.arange(2), RATE * slow)
+            self._step("q", np.concatenate([dp[:, None] * one(p), dn.T @ one(p)]) * scale, np.concatenate([w, k]), RATE * slow)
+            self._step("r", np.concatenate([grad_x, grad_y]) * scale, np.concatenate([x, y]), RATE * slow)
+            self._step("c", new_c * scale, np.arange(2), RATE * slow)
+
+    def _noise(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """(slots drawn from the shares in their class, class after class; where each class begins)."""
+        n = len(self.first) - 1
+        each = max(1 << 10, _POOL // max(n, 1))
+        upto = np.cumsum(self.share)
+        begin = np.concatenate([[0.0], upto])[self.first]
+        draws = begin[:-1, None] + rng.random((n, each)) * np.diff(begin)[:, None]
+        drawn = np.searchsorted(upto, draws.ravel()).reshape(n, each) if n else np.zeros((0, each), dtype=np.int64)
+        drawn = np.clip(drawn, self.first[:-1, None], self.first[1:, None] - 1)
+        return drawn.ravel(), np.arange(n + 1) * each
 
     def log_normalisers(self) -> np.ndarray:
-        """log of the sum of exp(s) for every context (u, v). exp(s) is a product of a factor of (u, w) and one of (v, w), so
-        the sums over w are a matrix product, taken in runs of contexts."""
+        """log of the sum of exp(s) over units for every context (u, v). exp(s) is a product of a factor of (u, w) and one of
+        (v, w), so the sums over w are a matrix product, taken in runs of contexts."""
         size = len(self.r)
         out = np.empty((size, size), dtype=np.float32)
-        second = (self.c[1] * self.r) @ self.q.T + self.b
+        q, b = self.q[:, :DIM], self.q[:, DIM]
+        second = (self.c[1] * self.r) @ q.T + b
         top = second.max(axis=1, keepdims=True)
         second = np.exp(second - top)
         for u in range(0, size, 256):
-            first = (self.c[0] * self.r[u : u + 256]) @ self.q.T
+            first = (self.c[0] * self.r[u : u + 256]) @ q.T
             high = first.max(axis=1, keepdims=True)
             out[u : u + 256] = np.log(np.maximum(np.exp(first - high) @ second.T, np.finfo(np.float32).tiny)) + high + top[:, 0]
         return out
 
-    def log_p(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, normal: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities."""
-        out = np.empty(len(w), dtype=np.float64)
-        for s in range(0, len(w), 1 << 16):
-            x, y, t = u[s : s + (1 << 16)], v[s : s + (1 << 16)], w[s : s + (1 << 16)]
-            out[s : s + (1 << 16)] = np.einsum("ij,ij->i", self.predicted(x, y), self.q[t]) + self.b[t] - normal[x, y]
+    def log_p(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, normal: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probabilities of units, and of slots where they are not negative."""
+        out = np.empty(len(unit), dtype=np.float64)
+        for s in range(0, len(unit), 1 << 16):
+            x, y, w = (a[s : s + (1 << 16)] for a in (u, v, unit))
+            q = self.q[w]
+            out[s : s + (1 << 16)] = np.einsum("ij,ij->i", self.c[0] * self.r[x] + self.c[1] * self.r[y], q[:, :DIM]) + q[:, DIM] - normal[x, y]
+        for at, scores, own in self._classes(u, v, unit, slot):
+            top = scores.max(axis=1)
+            out[at] += scores[np.arange(len(at)), own] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
         return out
+
+    def _classes(self, u, v, unit, slot, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(places, scores of all slots of their class, own slot in it), a class at a time, ``cells`` scores at most."""
+        tail = np.flatnonzero(slot >= 0)
+        tail = tail[np.argsort(unit[tail], kind="stable")]
+        kind = unit[tail] - (len(self.unigram) - len(self.first))
+        edge = np.searchsorted(kind, np.arange(len(self.first)))
+        for k in np.flatnonzero(np.diff(edge)).tolist():
+            a, b = int(self.first[k]), int(self.first[k + 1])
+            t = self.t[a:b]
+            step = max(1, cells // (b - a))
+            for s in range(int(edge[k]), int(edge[k + 1]), step):
+                at = tail[s : min(s + step, int(edge[k + 1]))]
+                p = self.d[0] * self.r[u[at]] + self.d[1] * self.r[v[at]]
+                yield at, p @ t[:, :DIM].T + t[:, DIM], slot[at] - a

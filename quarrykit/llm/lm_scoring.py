@@ -1,20 +1,27 @@
-"""Scoring of texts by a log-bilinear model (``lbl``) and by smoothed unigrams.
+"""Scoring of texts by a class-factored log-bilinear model (``lbl``) and by smoothed unigrams.
 
-Tokens: words lower-cased in A-Z, and one end a text. Texts whose crc32 of the id modulo ``FOLDS`` is ``HELD`` are held out.
+Tokens: words lower-cased in A-Z, and one end a text. Texts whose crc32 of the id modulo ``FOLDS`` is ``HELD`` are held out. A word of
+more than ``LONGEST`` bytes goes by its digest, so every key is short, however frequent its word is.
 
 1. Every training token is counted (batches are combined before the shuffle): the count table, N and V cover the
-   corpus. The ``KNOWN`` most frequent words of at most ``LONGEST`` bytes are a bounded dictionary for the tasks.
-2. Partitions train the model over all their training tokens; parameters are averaged through a shuffle by index.
-3. A pass scores every text. Words beyond the dictionary are left as (text, word, times) rows, which meet the count table
-   by word: none of them is frequent, so no task is hot.
-
-Memory in a task: the dictionary, one batch of texts, and the normalisers of the contexts (4 MB, and 190 MB at 5e9 tokens). Defined results: null
-and blank texts are one end token; rows without an id are held out if crc32 of the empty text says so (it does not);
-repeated rows count as often as they stand; an empty table gives no rows.
+   corpus. The most frequent words, ``KNOWN`` at most, are a bounded dictionary for the tasks, found by a histogram of the counts.
+2. One pass encodes every text as numbers of the dictionary, into a table.
+3. Training texts are dealt by a hash of the row into shards, whose number is the square root of the training tokens over a
+   constant; a shard is sorted by that hash. So the model depends on the rows, not on files or partitions. Each shard trains over
+   all its tokens from a common start; a shuffle by rows of parameters averages them by the squares of their gradients.
+4. A pass over the encoded texts scores them. Words beyond the dictionary are left as (text, word, times) rows, which meet the
+   count table by word: the dictionary has the frequent ones, so no task is hot.
+
+Memory in a task: the dictionary, the model (its rows are the dictionary's), a run of texts, and the normalisers of the contexts (10 MB,
+and 200 MB at 5e9 tokens). To the driver come the dictionary and the model. Defined results: null and blank texts are one end token; rows
+without an id are held out if crc32 of the empty text says so (it does not); repeated rows count as often as they stand;
+texts and words of any length are whole; columns of the input that clash with names here don't matter, as only id and
+text are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -25,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm import lbl
+from quarrykit.llm.graph import most_frequent
 from quarrykit.llm.storage import written
 
 FOLDS, HELD = 7, 2
@@ -32,6 +40,10 @@ KNOWN = 1 << 17
 LONGEST = 48
 #: Distinct words that a task holds before it passes its counts on.
 FLUSH = 200_000
+#: Shards are the square root of the training tokens over this.
+SHARD = 1 << 18
+#: Rows of the model that travel together.
+BLOCK = 256
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
@@ -39,12 +51,17 @@ def _words(text: bytes | None) -> list[bytes]:
     return text.translate(_LOWER).split() if text else []  # bytes part at ASCII white space alone
 
 
+def _key(word: bytes) -> bytes:
+    """Words have no blank, so the digest of a long one is no other word; its last two bytes are kept for the class."""
+    return word if len(word) <= LONGEST else b" " + hashlib.sha256(word).digest()[:24] + word[-2:]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, count); the end of a text has the empty word."""
     held: Counter = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array([_key(w) for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
     for b in batches:
         for t in b.column(0).cast(pa.binary()).to_pylist():
@@ -58,30 +75,46 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Dictionary:
-    """Frequent words with ids by rank and counts; outputs of the model for every word."""
+    """Numbers for words. Below ``units`` they are units of the model (head words by rank, classes, the end); others are, less
+    ``units``, slots: class after class the known words by rank, then one for the rest of the class."""
 
-    def __init__(self, words: list[bytes], counts: list[int], tail_counts: np.ndarray, tail_words: np.ndarray, ends: int, n: int, v: int):
-        self.id = {w: i for i, w in enumerate(words)}
-        self.count = np.array(counts, dtype=np.float64)
+    def __init__(self, words: list[bytes], counts: list[int], ending_tokens: np.ndarray, n: int, v: int, ends: int):
+        """``words`` fall by count; ``ending_tokens``: of all words by ``lbl.ending``."""
         self.n, self.v, self.ends = n, v, ends
-        self.heads = lbl.head_words(n)
-        self.end, self.start = self.heads + lbl.TAILS, self.heads + lbl.TAILS + 1
-        self.head = min(self.heads, len(words))
-        classes = lbl.tail_class(np.array([int.from_bytes(w[-2:], "big") for w in words], dtype=np.uint64)) if words else np.zeros(0, dtype=np.int64)
-        self.output = np.where(np.arange(len(words)) < self.head, np.arange(len(words)), self.heads + classes)
-        # the tail classes' sums cover the whole count table, but for the head
-        head = np.arange(len(words)) < self.head
-        drop_c = np.bincount(classes[head], weights=self.count[head], minlength=lbl.TAILS) if len(words) else 0
-        drop_w = np.bincount(classes[head], minlength=lbl.TAILS) if len(words) else 0
-        self.class_norm = np.log10(tail_counts - drop_c + tail_words - drop_w + 1.0)
-        outputs = np.zeros(self.end + 1)
-        outputs[: self.head] = self.count[: self.head]
-        outputs[self.heads : self.end] = tail_counts - drop_c
-        outputs[self.end] = ends
-        self.outputs = outputs
-
-    def encoded(self, texts: list[bytes | None]):
-        """(words, ids or -1, outputs, first token of each text and the end) with an end token after each text."""
+        self.heads = min(lbl.head_words(n), len(words))
+        head, tail = words[: self.heads], words[self.heads :]
+        tokens = ending_tokens.astype(np.float64)
+        np.subtract.at(tokens, [lbl.ending(w) for w in head], counts[: self.heads])
+        self.classes = lbl.Classes(np.maximum(tokens, 0))
+        kind = self.classes.of(tail)
+        self.units = self.heads + self.classes.n + 1
+        self.end, self.start = self.units - 1, self.units
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(kind, minlength=self.classes.n) + 1)])
+        order = np.argsort(kind, kind="stable")
+        slot = np.empty(len(tail), dtype=np.int64)
+        slot[order] = np.arange(len(tail)) + kind[order]  # a rest before each further class
+        self.rest = self.first[1:] - 1
+        self.id = {w: i for i, w in enumerate(head)}
+        self.id |= {w: i for w, i in zip(tail, (slot + self.units).tolist())}
+        self.count = np.zeros(self.units + int(self.first[-1]))
+        self.count[: self.heads] = counts[: self.heads]
+        self.count[self.units + slot] = counts[self.heads :]
+        self.count[self.end] = ends
+        self.kind_of_slot = np.repeat(np.arange(self.classes.n), np.diff(self.first))
+
+    def rests(self, tokens: np.ndarray, words: np.ndarray) -> None:
+        """Takes the tokens and the words of each class beyond the dictionary."""
+        self.count[self.units + self.rest] = tokens
+        self.rest_norm = np.log(tokens + words + 1.0)
+
+    def model(self) -> lbl.Model:
+        slots = self.count[self.units :]
+        units = self.count[: self.units].copy()
+        units[self.heads : self.end] = np.add.reduceat(slots, self.first[:-1])
+        return lbl.Model.fresh(units, self.first, slots)
+
+    def encoded(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[Counter]]:
+        """(numbers, first of each text and the end, words beyond the dictionary of each text), an end after each text."""
         words: list = []
         first = [0]
         for t in texts:
@@ -89,37 +122,47 @@ class Dictionary:
             words.append(b"")
             first.append(len(words))
         get = self.id.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
-        ends = np.array(first[1:]) - 1
-        out = np.empty(len(words), dtype=np.int64)
-        out[ids >= 0] = self.output[ids[ids >= 0]]
-        rare = np.flatnonzero(ids < 0)
-        last = np.fromiter((int.from_bytes(words[k][-2:], "big") for k in rare), dtype=np.uint64, count=len(rare))
-        out[rare] = self.heads + lbl.tail_class(last)
-        out[ends] = self.end
-        return words, ids, out, np.array(first)
-
-
-def _contexts(out: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The outputs two and one before each token; ``start`` before a text."""
-    one = np.concatenate([[start], out[:-1]])
+        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
+        first = np.array(first)
+        ids[first[1:] - 1] = self.end
+        left = np.flatnonzero(ids < 0)
+        keys = [_key(words[k]) for k in left]
+        ids[left] = np.fromiter((get(w, -1) for w in keys), dtype=np.int32, count=len(left))
+        rare = ids[left] < 0
+        left, keys = left[rare], [w for w, r in zip(keys, rare.tolist()) if r]
+        ids[left] = self.units + self.rest[self.classes.of(keys)]
+        split = np.searchsorted(left, first).tolist()
+        return ids, first, [Counter(keys[a:b]) for a, b in zip(split, split[1:])]
+
+    def targets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, slot or -1) of each number."""
+        slot = ids.astype(np.int64) - self.units
+        unit = ids.astype(np.int64)
+        tail = slot >= 0
+        unit[tail] = self.heads + self.kind_of_slot[slot[tail]]
+        slot[~tail] = -1
+        return unit, slot
+
+
+def _contexts(units: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The units two and one before each token; ``start`` before a text."""
+    one = np.concatenate([[start], units[:-1]])
     one[first[:-1]] = start
     two = np.concatenate([[start], one[:-1]])
     two[first[:-1]] = start
     return two, one
 
 
-def _slices(batch: pa.RecordBatch, column: int, size: int = 1 << 22):
-    """Runs of rows of about ``size`` bytes together."""
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
+def _slices(values: list[bytes | None], size: int = 1 << 22) -> Iterator[tuple[int, list]]:
+    """Runs of values of about ``size`` bytes together, with the place of the first."""
     first, total = 0, 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(values):
         total += len(t or b"")
         if total >= size:
-            yield first, texts[first : i + 1]
+            yield first, values[first : i + 1]
             first, total = i + 1, 0
-    if first < len(texts):
-        yield first, texts[first:]
+    if first < len(values):
+        yield first, values[first:]
 
 
 def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -128,49 +171,140 @@ def _rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def dictionary(counts: DataFrame) -> Dictionary:
-    """From the count table; what comes to the driver is bounded by ``KNOWN`` and ``TAILS``."""
+    """From the count table. To the driver come the dictionary, ``lbl.ENDINGS`` sums and two numbers a class."""
     words = counts.where("word <> X''")
-    top = words.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(KNOWN).collect()
-    # last two bytes -> sums, at most 65,792 groups; classes are made of these
-    ends = words.groupBy(F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)").alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    code = np.array([int.from_bytes(bytes(r.e), "big") for r in ends], dtype=np.uint64)
-    k = lbl.tail_class(code) if len(ends) else np.zeros(0, dtype=np.int64)
-    tail_c = np.bincount(k, weights=[r.c for r in ends], minlength=lbl.TAILS)
-    tail_w = np.bincount(k, weights=[r.v for r in ends], minlength=lbl.TAILS)
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.expr("word = X''"), F.col("c"))).alias("e")).first()
-    return Dictionary([bytes(r.word) for r in top], [r.c for r in top], tail_c, tail_w, total.e or 0, total.n or 0, total.v)
+    top = most_frequent(words, "c", KNOWN).toPandas()
+    top["word"] = top["word"].map(bytes)
+    top = top.sort_values(["c", "word"], ascending=[False, True])
+    size = F.octet_length("word")
+    byte = lambda at: F.conv(F.hex(F.expr(f"substring(word, {at}, 1)")), 16, 10).cast("int")
+    code = byte("octet_length(word)") * 256 + F.when(size > 1, byte("octet_length(word) - 1")).otherwise(0)
+    by_ending = words.groupBy(code.alias("e")).agg(F.sum("c").alias("c")).toPandas()
+    tokens = np.zeros(lbl.ENDINGS)
+    tokens[by_ending["e"].to_numpy(dtype=np.int64)] = by_ending["c"].to_numpy(dtype=np.float64)
+    out = Dictionary(top["word"].tolist(), top["c"].tolist(), tokens, total.n or 0, total.v, total.e or 0)
+    known = counts.sparkSession.sparkContext.broadcast((out.classes, set(out.id)))
+
+    def beyond(batches):
+        classes, held = known.value
+        for b in batches:
+            word = b.column(0).to_pylist()
+            rare = [k for k, w in enumerate(word) if w not in held]
+            kind, c = classes.of([word[k] for k in rare]), b.column(1).to_numpy()[rare]
+            n = np.bincount(kind, minlength=classes.n)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(kind, weights=c, minlength=classes.n)[some]), pa.array(n[some])], names=["k", "c", "n"])
+
+    sums = words.mapInArrow(beyond, "k long, c double, n long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).toPandas()
+    rest = np.zeros((2, out.classes.n))
+    rest[:, sums["k"].to_numpy(dtype=np.int64)] = sums["c"].to_numpy(dtype=np.float64), sums["n"].to_numpy(dtype=np.float64)
+    out.rests(*rest)
+    known.destroy()
+    return out
+
+
+ENCODED = "doc_id long, held_out boolean, ids binary, n_known long, base double, rare array<struct<word:binary,n:long>>"
+
+
+def encoded(rows: DataFrame, words) -> DataFrame:
+    def out(batches):
+        known = words.value
+        logs = np.log10(known.count + 1)
+        logs[known.units + known.rest] = 0  # these words are left as rows
+        seen = known.count > 0
+        seen[known.units + known.rest] = False
+        for b in batches:
+            for at, texts in _slices(b.column(2).cast(pa.binary()).to_pylist()):
+                ids, first, rare = known.encoded(texts)
+                m = len(texts)
+                cut = first.tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, m), b.column(1).slice(at, m), pa.array([ids[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary()), pa.array(np.add.reduceat(seen[ids].astype(np.int64), first[:-1])),
+                     pa.array(np.add.reduceat(logs[ids], first[:-1])), pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                    names=["doc_id", "held_out", "ids", "n_known", "base", "rare"],
+                )
+
+    return rows.mapInArrow(out, ENCODED)
+
 
+def _decoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), dtype=np.int32), np.concatenate([[0], np.cumsum([len(t) // 4 for t in texts])])
 
-def trained(training: DataFrame, words: Dictionary) -> lbl.Model:
-    """Partitions train from the same start; the weighted mean of their parameters starts the next round."""
-    context = training.sparkSession.sparkContext
-    known = context.broadcast(words)
-    model = lbl.Model.fresh(words.outputs)
+
+def trained(texts: DataFrame, words, n_tokens: int) -> lbl.Model:
+    """From rows of (h, ids). Shards train from the same start; the mean of each row of parameters, weighted by the squares of
+    its gradients in each shard, starts the next round."""
+    context = texts.sparkSession.sparkContext
+    shards = max(1, math.ceil(math.sqrt(n_tokens / SHARD)))
+    model = words.value.model()
+    dealt = texts.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
     for r in range(lbl.ROUNDS):
         start = context.broadcast(model)
 
-        def partition(batches, start=start, r=r):
-            mine, tokens, rng = start.value.at(start.value.vector()), 0, np.random.default_rng(r)
+        def shard(batches, start=start, r=r):
+            now, mine, rng, held, size = None, None, None, [], 0
+
+            def run():
+                ids, first = _decoded(held)
+                unit, slot = words.value.targets(ids)
+                two, one = _contexts(unit, first, words.value.start)
+                order = rng.permutation(len(unit))
+                mine.train(two[order], one[order], unit[order], slot[order], rng, 1 / (1 + r))
+                held.clear()
+
+            def out():
+                run()
+                for name, table in mine.tables.items():
+                    weight = mine.squares[name] - lbl.SQUARE
+                    for k in range(0, len(table), BLOCK):
+                        if weight[k : k + BLOCK].any():
+                            rows = (weight[k : k + BLOCK].astype(np.float64), table[k : k + BLOCK])
+                            yield pa.RecordBatch.from_pydict({"name": [name], "k": pa.array([k], pa.int64()), "n": pa.array([rows[0].tobytes()], pa.binary()), "x": pa.array([rows[1].tobytes()], pa.binary())})
+
             for b in batches:
-                for _, texts in _slices(b, 0):
-                    _, _, out, first = known.value.encoded(texts)
-                    two, one = _contexts(out, first, known.value.start)
-                    order = rng.permutation(len(out))
-                    mine.train(two[order], one[order], out[order], rng, lbl.RATE / (1 + r))
-                    tokens += len(out)
-            if tokens:
-                v = mine.vector()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v * tokens), pa.array(np.full(len(v), float(tokens)))], names=["k", "x", "n"])
-
-        sums = training.select("text").mapInArrow(partition, "k int, x double, n double").groupBy("k").agg((F.sum("x") / F.sum("n")).alias("x"))
-        found = sums.toPandas().sort_values("k")  # as many numbers as the model has
-        if not len(found):
+                for s, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                    if s != now:
+                        if now is not None:
+                            yield from out()
+                        now, mine, size, rng = s, start.value.copy(), 0, np.random.default_rng([s, r])
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= 1 << 22:
+                        run()
+                        size = 0
+            if now is not None:
+                yield from out()
+
+        shape = "name string, k long, n binary, x binary"
+        rows = dealt.select("shard", "h", "ids").repartitionById(shards, "shard").sortWithinPartitions("shard", "h", "ids").mapInArrow(shard, shape)
+        means = rows.repartition("name", "k").mapInArrow(_means, shape).collect()  # as many numbers as the model has
+        if not means:
             break
-        model = model.at(found["x"].to_numpy())
+        model = model.copy()
+        for row in means:
+            table, weight = model.tables[row["name"]], np.frombuffer(row["n"])
+            at = np.flatnonzero(weight)
+            table[row["k"] + at] = np.frombuffer(row["x"], dtype=np.float32).reshape(len(weight), -1)[at]
+        start.destroy()
     return model
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"
+def _means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows of the model from many shards -> the weighted mean of each block (a weight of 0: no shard had the row)."""
+    sums: dict[tuple, list] = {}
+    for b in batches:
+        for name, k, n, x in zip(*(c.to_pylist() for c in b.columns)):
+            n = np.frombuffer(n)
+            x = np.frombuffer(x, dtype=np.float32).reshape(len(n), -1) * n[:, None]
+            if (name, k) in sums:
+                sums[name, k][0] += n
+                sums[name, k][1] += x
+            else:
+                sums[name, k] = [n.copy(), x]
+    for (name, k), (n, x) in sums.items():
+        mean = (x / np.maximum(n, np.finfo(np.float64).tiny)[:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_pydict({"name": [name], "k": pa.array([k], pa.int64()), "n": pa.array([n.tobytes()], pa.binary()), "x": pa.array([mean.tobytes()], pa.binary())})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,49 +312,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     rows = _rows(docs, id_col, text)
     training = rows.where("not held_out").select("text")
     counts = written(training.mapInArrow(_counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "counts")
-    words = dictionary(counts)
-    model = trained(training, words)
+    known = dictionary(counts)
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((words, model, model.log_normalisers()))
-    n, v = words.n, words.v
+    words = context.broadcast(known)
+    n, v = known.n, known.v
+    passed = written(encoded(rows, words).withColumn("row", F.monotonically_increasing_id()), "encoded")
+    model = trained(passed.where("not held_out").select(F.xxhash64("doc_id", "ids").alias("h"), "ids"), words, n)
+    shared = context.broadcast((model, model.log_normalisers()))
 
     def scored(batches):
-        known, lm, normal = shared.value
-        known_log = np.log10(known.count + 1)
+        lm, normal = shared.value
+        own = words.value
         for b in batches:
-            for first_row, texts in _slices(b, 2):
-                tokens, ids, out, first = known.encoded(texts)
-                two, one = _contexts(out, first, known.start)
-                p = lm.log_p(two, one, out, normal) / math.log(10)
-                seen = ids >= 0
-                base = np.zeros(len(ids))
-                base[seen] = known_log[ids[seen]]
-                ends = first[1:] - 1
-                base[ends] = math.log10(known.ends + 1)
-                tail = (out >= known.heads) & (out < known.end)
-                p[tail] -= known.class_norm[out[tail] - known.heads]
-                p[tail & seen] += known_log[ids[tail & seen]]
-                is_known = seen.astype(np.int64)
-                is_known[ends] = known.ends > 0
-                rare: list = []
-                at = np.flatnonzero(ids < 0)
-                split = np.searchsorted(at, first)
-                for k in range(len(texts)):
-                    c = Counter(tokens[x] for x in at[split[k] : split[k + 1]].tolist())
-                    c.pop(b"", None)
-                    rare.append([{"word": w, "n": m} for w, m in c.items()])
-                add = lambda x: np.add.reduceat(x, first[:-1])
-                m = len(texts)
+            for at, texts in _slices(b.column(5).to_pylist()):
+                ids, first = _decoded(texts)
+                unit, slot = own.targets(ids)
+                two, one = _contexts(unit, first, own.start)
+                p = lm.log_p(two, one, unit, slot, normal)
+                in_rest = np.flatnonzero(slot >= 0)
+                in_rest = in_rest[own.rest[unit[in_rest] - own.heads] == slot[in_rest]]
+                p[in_rest] -= own.rest_norm[unit[in_rest] - own.heads]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first_row, m), b.column(1).slice(first_row, m), pa.array(np.diff(first)), pa.array(add(is_known)), pa.array(add(base)), pa.array(add(p)), pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"],
+                    [*(c.slice(at, len(texts)) for c in b.columns[:5]), pa.array(np.diff(first)), pa.array(np.add.reduceat(p, first[:-1]) / math.log(10))],
+                    names=["row", "doc_id", "held_out", "n_known", "base", "n_tokens", "score"],
                 )
 
-    passed = written(rows.mapInArrow(scored, SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    shape = "row long, doc_id long, held_out boolean, n_known long, base double, n_tokens long, score double"
+    modelled = passed.select("row", "doc_id", "held_out", "n_known", "base", "ids").mapInArrow(scored, shape)
     left = passed.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     found = left.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("logs"))
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
-    return passed.drop("rare").join(found, "row", "left").select(
+    return modelled.join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -128,37 +128,141 @@ def test_lm_base_is_exact_and_the_model_is_normalised(spark, docs, rows):
     assert lm_scoring.score(empty(spark)).count() == 0
 
 
-def test_lbl_normalisers_and_training():
-    rng = np.random.default_rng(0)
-    w = rng.integers(0, 20, 40_000)
-    w[1::2] = (w[::2] + 1) % 20  # every second output follows from the one before
-    two, one = np.concatenate([[0, 0], w[:-2]]), np.concatenate([[0], w[:-1]])
-    model = lbl.Model.fresh(np.bincount(w, minlength=lbl.SIZE).astype(float))
-    before = model.log_p(two, one, w, model.log_normalisers()).mean()
-    model.train(two, one, w, rng)
+def small_model(heads=20, tail=60):
+    """(dictionary, counts) of invented words, the least frequent of which the dictionary lacks."""
+    words = [b"w%d" % k for k in range(heads + tail)]
+    counts = list(range(5 * len(words), 0, -5))
+    endings = np.zeros(lbl.ENDINGS)
+    for w, c in zip(words, counts):
+        endings[lbl.ending(w)] += c
+    known, n = words[: -tail // 3], sum(counts) + 9
+    out = lm_scoring.Dictionary(known, counts[: len(known)], endings, n, len(words) + 1, 9)
+    kind = out.classes.of(words[len(known) :])
+    out.rests(np.bincount(kind, weights=counts[len(known) :], minlength=out.classes.n), np.bincount(kind, minlength=out.classes.n))
+    return out, words, counts
+
+
+def shuffled_model(known, seed=3):
+    model, rng = known.model(), np.random.default_rng(seed)
+    for x in model.tables.values():
+        x += rng.standard_normal(x.shape).astype(np.float32) * 0.3
+    return model
+
+
+def told(model, known, u, v, word, count):
+    """log P(word | units u, v) by sums over all units and slots; ``word`` as a number, ``count`` if it is one of the rest."""
+    unit, slot = (int(x[0]) for x in known.targets(np.array([word])))
+    q = [sum((model.c[0, j] * model.r[u, j] + model.c[1, j] * model.r[v, j]) * w[j] for j in range(lbl.DIM)) + w[lbl.DIM] for w in model.q]
+    out = q[unit] - math.log(sum(map(math.exp, q)))
+    if slot >= 0:
+        kind = unit - known.heads
+        t = [sum((model.d[0, j] * model.r[u, j] + model.d[1, j] * model.r[v, j]) * w[j] for j in range(lbl.DIM)) + w[lbl.DIM] for w in model.t[known.first[kind] : known.first[kind + 1]]]
+        out += t[slot - known.first[kind]] - math.log(sum(map(math.exp, t)))
+        if slot == known.rest[kind]:
+            out += math.log(count + 1) - known.rest_norm[kind]
+    return out
+
+
+def test_lm_probabilities_sum_to_one(monkeypatch):
+    monkeypatch.setattr(lbl, "HEAD", 20)
+    monkeypatch.setattr(lbl, "GROWTH", 0)
+    known, _, _ = small_model()
+    model, every = shuffled_model(known), np.arange(len(known.count))
+    every = np.delete(every, np.s_[known.heads : known.end])  # a class by itself is no token
+    unit, slot = known.targets(every)
     normal = model.log_normalisers()
-    after = model.log_p(two, one, w, normal).mean()
-    assert after > before + 0.1
-    every = np.arange(lbl.SIZE)
-    assert abs(np.exp(model.log_p(np.full(lbl.SIZE, 3), np.full(lbl.SIZE, 7), every, normal)).sum() - 1) < 1e-4
+    for u, v in [(known.start, known.start), (3, known.end - 1), (0, 7)]:
+        p = model.log_p(np.full(len(every), u), np.full(len(every), v), unit, slot, normal)
+        assert abs(np.exp(p).sum() - 1) < 1e-4
+        assert all(abs(told(model, known, u, v, int(w), 0) - x - (-known.rest_norm[unit[k] - known.heads] if slot[k] >= 0 and slot[k] in known.rest else 0)) < 1e-3 for k, (w, x) in enumerate(zip(every, p)))
+
+
+def test_lm_score_equals_sums_over_the_vocabulary(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.03)), 400)}" for _ in range(rng.randrange(1, 60))) for _ in range(120)] + [None, "", "never seen here", "LONG" * 40 + " w1"]
+    monkeypatch.setattr(lbl, "HEAD", 15)
+    monkeypatch.setattr(lbl, "GROWTH", 0)
+    monkeypatch.setattr(lm_scoring, "KNOWN", 120)
+    held = {}
+
+    def trained(texts, words, n_tokens):
+        held["known"], held["model"] = words.value, shuffled_model(words.value)
+        return held["model"]
+
+    monkeypatch.setattr(lm_scoring, "trained", trained)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in lm_scoring.score(docs).collect()}
+    known, model = held["known"], held["model"]
+    seen = collections.Counter(w for k, t in enumerate(texts) if binascii.crc32(str(k).encode()) % 7 != 2 for w in WORD.findall(lower(t or "")))
+    assert 15 < len(known.id) < len(seen)
+    for k, t in list(enumerate(texts))[::9] + list(enumerate(texts))[-4:]:
+        total, u, v = 0.0, known.start, known.start
+        for w in [*WORD.findall(lower(t or "")), None]:
+            key = None if w is None else lm_scoring._key(w.encode())
+            number = known.end if w is None else known.id.get(key, None)
+            if number is None:
+                number = int(known.units + known.rest[known.classes.of([key])[0]])
+            total += told(model, known, u, v, number, seen[w])
+            u, v = v, int(known.targets(np.array([number]))[0][0])
+        assert abs(got[k] - total / math.log(10)) < 1e-3 * max(1, abs(total))
+
+
+def test_lm_trains_alike_over_any_partitions_and_helps(spark):
+    rng = random.Random(4)
+    texts = []
+    for _ in range(700):
+        at, words = rng.randrange(200), []
+        for _ in range(rng.randrange(20, 120)):
+            words.append(f"v{at}")
+            at = (at * 7 + rng.randrange(3)) % 1500  # each word has three successors
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few, many = (lm_scoring.score(docs.repartition(n)).toPandas().set_index("doc_id").sort_index() for n in (2, 16))
+    assert (abs(few["score"] - many["score"]) <= 1e-6 * abs(few["score"])).all()
+    held = few[few["held_out"]]
+    assert held["score"].sum() > 0.99 * held["base_score"].sum()  # less surprise than by unigrams
+
+
+def test_lm_long_frequent_words_are_known(spark):
+    long = "https://" + "x" * 300
+    docs = spark.createDataFrame([(k, f"{long} w{k % 3}") for k in range(60)], "doc_id long, text string")
+    rows = lm_scoring._rows(docs, "doc_id", "text")
+    counts = rows.where("not held_out").select("text").mapInArrow(lm_scoring._counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    known = lm_scoring.dictionary(counts)
+    assert lm_scoring._key(long.encode()) in known.id and max(map(len, known.id)) <= lm_scoring.LONGEST
+    assert known.encoded([f"{long} w1".encode()])[2] == [collections.Counter()]
 
 
 def test_lbl_has_its_whole_size_and_grows_with_the_input():
     assert (lbl.HEAD, lbl.DIM, lbl.NOISE, lbl.ROUNDS) >= (958, 24, 64, 2) and min(lbl.DIM / 24, lbl.NOISE / 64, lbl.ROUNDS / 2) >= 1
     words = [b"w%d" % k for k in range(5000)]
-    made = lambda n: lm_scoring.Dictionary(words, list(range(5000, 0, -1)), np.full(lbl.TAILS, 1e6), np.full(lbl.TAILS, 1e3), 9, n, 5000)
+    endings = np.zeros(lbl.ENDINGS)
+    for k, w in enumerate(words):
+        endings[lbl.ending(w)] += 5000 - k
+    made = lambda n: lm_scoring.Dictionary(words, list(range(5000, 0, -1)), endings, n, 5000, 9)
     small, large = made(10_000), made(500_000_000)
-    assert [len(small.outputs), len(large.outputs)] == [958 + lbl.TAILS + 1, lbl.head_words(500_000_000) + lbl.TAILS + 1]
-    _, _, out, _ = large.encoded([b"w2000 w4999"])
-    assert out[0] == 2000 and large.heads <= out[1] < large.end and out[2] == large.end
-    model = lbl.Model.fresh(large.outputs)
-    assert len(model.q) == len(large.outputs) > 3000
-    rng = np.random.default_rng(1)
-    model.b += rng.standard_normal(len(model.b)).astype(np.float32)
-    normal = model.log_normalisers()
-    every = np.arange(len(model.q))
-    for u, v in [(0, 0), (5, large.start), (large.start, large.start)]:
-        assert abs(np.exp(model.log_p(np.full(len(every), u), np.full(len(every), v), every, normal)).sum() - 1) < 1e-4
+    assert (small.heads, large.heads) == (958, lbl.head_words(500_000_000)) and large.heads > 3000
+    # every word has outputs of its own
+    assert len({small.id[w] for w in words}) == 5000 and len(small.model().t) == 5000 - 958 + small.classes.n
+    mass = np.zeros(small.classes.n)
+    np.add.at(mass, small.classes.of(words[958:]), np.arange(5000 - 958, 0, -1))
+    assert mass.max() < 40 * mass.mean()
+
+
+def test_lbl_learns_units_and_words_of_a_class():
+    rng = np.random.default_rng(0)
+    n, heads, per = 60_000, 10, 8
+    word = rng.integers(0, 40, n)
+    word[1::2] = (word[::2] * 3 + 1) % 40  # every second word follows from the one before
+    unit = np.where(word < heads, word, heads + (word - heads) % 5)
+    slot = np.where(word < heads, -1, (word - heads) % 5 * per + (word - heads) // 5)
+    first, units = np.arange(6) * per, np.bincount(unit, minlength=16).astype(float)
+    model = lbl.Model.fresh(units, first, np.bincount(slot[slot >= 0], minlength=5 * per).astype(float))
+    two, one = np.concatenate([[16, 16], unit[:-2]]), np.concatenate([[16], unit[:-1]])
+    before = model.log_p(two, one, unit, slot, model.log_normalisers())
+    model.train(two, one, unit, slot, rng)
+    after = model.log_p(two, one, unit, slot, model.log_normalisers())
+    assert after[1::2].mean() > before[1::2].mean() + 0.2
 
 
 def test_chat_round_trip(spark):
