@@ -4,10 +4,13 @@
 masks over these bits, so that a policy change or an ablation reads only the ledger: ``apply_policy`` is one bitwise
 AND a row, ``ablation`` groups by the mask (at most ``2 ** len(RULES)`` groups, combined before the shuffle).
 
-There is no shuffle and no Python in ``ledger``: the scan, one projection, done. Defined results: a null or empty text
-has no words, all measurements 0, and fails ``min_words``; null ids and repeated rows pass through row by row; an
-empty table gives an empty ledger; columns of the input that clash with the ledger's names are replaced when ``keep``
-does not name them.
+There is no Python in ``ledger``. Texts of up to ``LONG`` bytes are measured in their row, without a shuffle. Longer ones are parted
+into pieces that end with a word (or a line), and their words and lines are rows that are counted by the text's digest, so no
+row and no task holds all windows of a text, however long it is.
+
+Defined results: a null or empty text has no words, all measurements 0, and fails ``min_words``; null ids and repeated rows pass
+through row by row; an empty table gives an empty ledger; columns of the input may have any names: those that ``keep`` does not
+name are gone, and a kept one that is named like one of the ledger's comes out with ``_kept`` after its name.
 """
 
 from __future__ import annotations
@@ -15,12 +18,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 PLACE_BITS = 24
+#: Bytes of a text that is measured in its row, and characters of a piece of a longer one.
+LONG, PIECE = 1 << 20, 1 << 18
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_alpha_words", "n_ellipsis_lines", "n_bullet_lines")
 
 
@@ -69,7 +74,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _hashed_windows(words: Column) -> Column:
-    """For each three-word window 40 bits of hash above 24 bits of place (see ``ledger`` for texts of more words)."""
+    """For each three-word window 40 bits of hash above 24 bits of place (more than a text of ``LONG`` bytes has)."""
     n = F.size(words)
     at = F.when(n > 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.shiftleft(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), PLACE_BITS).bitwiseOR(i.cast("long")))
@@ -93,7 +98,7 @@ def _candidates(hashes: Column) -> Column:
 
 def _repeats(words: Column, places: Column) -> Column:
     """Words covered by windows that stand at two of ``places`` or more: these windows, as text, are sorted and equal
-    neighbours cover three words each. (``ledger`` gives all places of a text too long for 24 bits of place.)"""
+    neighbours cover three words each."""
 
     def keyed(w: Column) -> Column:
         return F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("k"), i.alias("i"))))
@@ -104,31 +109,93 @@ def _repeats(words: Column, places: Column) -> Column:
     return F.when(F.size(places) > 0, _let(words, lambda w: _let(keyed(w), covered))).otherwise(0)
 
 
-def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row a document: ``keep``, every measurement, and ``failure_bits`` (bit r set: rule r fails)."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def _alpha(text: Column) -> Column:
+    """Words with a letter: each is one match, from its first letter to its end."""
+    return F.regexp_count(text, F.lit(r"\p{L}[^\x20\x09-\x0D]*"))
+
+
+def _symbols(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"[#*$%&|<>]"))
+
+
+def _ellipsis(line: Column) -> Column:
+    return F.rtrim(line).rlike(r"(\.\.\.|…)$")
+
+
+def _bullet(line: Column) -> Column:
+    return F.substring(F.ltrim(line), 1, 1).isin("-", "*", "•", "‣", "◦")
+
+
+def _with_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK)) != ""
+
+
+def _in_row(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` and measurements of texts ``_x`` that their rows can hold as arrays."""
+    body = F.coalesce("_x", F.lit(""))
     words = F.when(F.btrim(body, F.lit(BLANK)) == "", F.array().cast("array<string>")).otherwise(F.split(F.btrim(body, F.lit(BLANK)), SPACE))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(BLANK)) != "")
-    cut = docs.select(*keep, body.alias("_t"), words.alias("_w"), lines.alias("_l"))
+    cut = rows.select(*keep, body.alias("_t"), words.alias("_w"), F.filter(F.split(body, "\n"), _with_word).alias("_l"))
     cut = cut.select("*", F.sort_array(_hashed_windows(F.col("_w"))).alias("_h"))
-    cut = cut.select("*", F.when(F.size("_w") > 1 << PLACE_BITS, F.sequence(F.lit(0), F.size("_w") - 3)).otherwise(_candidates(F.col("_h"))).alias("_p"))
-    measured = cut.select(
+    cut = cut.select("*", _candidates(F.col("_h")).alias("_p"))
+    return cut.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        _symbols(F.col("_t")).cast("long").alias("n_symbols"),
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _repeats(F.col("_w"), F.col("_p")).cast("long").alias("n_repeat_words"),
-        # each word with a letter is one match: from its first letter to its end
-        F.regexp_count("_t", F.lit(r"\p{L}[^\x20\x09-\x0D]*")).cast("long").alias("n_alpha_words"),
-        F.size(F.filter("_l", lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))).cast("long").alias("n_ellipsis_lines"),
-        F.size(F.filter("_l", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•", "‣", "◦"))).cast("long").alias("n_bullet_lines"),
+        _alpha(F.col("_t")).cast("long").alias("n_alpha_words"),
+        F.size(F.filter("_l", _ellipsis)).cast("long").alias("n_ellipsis_lines"),
+        F.size(F.filter("_l", _bullet)).cast("long").alias("n_bullet_lines"),
+    )
+
+
+def _by_rows(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The same of longer texts: equal ones are measured once, by their digest."""
+    keyed = rows.withColumn("_d", F.sha2("_x", 256))
+    texts = keyed.groupBy("_d").agg(F.first("_x").alias("_x"))
+
+    def parts(rest: str, split: str) -> DataFrame:
+        """The words or lines of each text in order (piece, pos)."""
+        pieces = F.regexp_extract_all("_x", F.lit(f"(?s).{{1,{PIECE}}}{rest}*"), F.lit(0))
+        cut = texts.select("_d", F.posexplode(pieces).alias("piece", "t"))
+        return cut.select("_d", "piece", F.posexplode(F.split("t", split, -1)).alias("pos", "v"))
+
+    # what is asked of a word comes before the shuffle; a long word is compared by its digest
+    words = parts(r"[^\x20\x09-\x0D]", SPACE).where("v <> ''")
+    words = words.select("_d", "piece", "pos", F.when(F.length("v") > 64, F.sha2("v", 256)).otherwise(F.col("v")).alias("w"), F.length("v").alias("chars"), F.col("v").rlike(r"\p{L}").alias("alpha"))
+    order = Window.partitionBy("_d").orderBy("piece", "pos")
+    windows = words.withColumn("k", F.array("w", F.lead("w", 1).over(order), F.lead("w", 2).over(order)))
+    full = F.get("k", F.lit(2)).isNotNull()
+    windows = windows.withColumn("same", F.count("*").over(Window.partitionBy("_d", "k")) > 1).withColumn("hit", full & F.col("same"))
+    covered = F.col("hit") | F.coalesce(F.lag("hit", 1).over(order), F.lit(False)) | F.coalesce(F.lag("hit", 2).over(order), F.lit(False))
+    by_word = windows.withColumn("covered", covered).groupBy("_d").agg(
+        F.count("*").alias("n_words"), F.sum("chars").cast("long").alias("word_chars"), F.count_if("covered").alias("n_repeat_words"), F.count_if("alpha").alias("n_alpha_words")
     )
+    lines = parts(r"[^\n]", "\n")
+    # a piece after the first begins with the break that ended the one before
+    lines = lines.where((F.col("piece") == 0) | (F.col("pos") > 0)).where(_with_word(F.col("v")))
+    lines = lines.select("_d", F.when(F.length("v") > 64, F.sha2("v", 256)).otherwise(F.col("v")).alias("w"), _ellipsis(F.col("v")).alias("e"), _bullet(F.col("v")).alias("b"))
+    by_line = lines.groupBy("_d", "w", "e", "b").agg(F.count("*").alias("n")).groupBy("_d").agg(
+        F.sum("n").alias("n_lines"), F.sum(F.col("n") - 1).alias("n_dup_lines"), F.sum(F.when(F.col("e"), F.col("n")).otherwise(0)).alias("n_ellipsis_lines"), F.sum(F.when(F.col("b"), F.col("n")).otherwise(0)).alias("n_bullet_lines")
+    )
+    told = texts.select("_d", _symbols(F.col("_x")).cast("long").alias("n_symbols")).join(by_word, "_d", "left").join(by_line, "_d", "left")
+    told = told.select("_d", *[F.coalesce(m, F.lit(0)).cast("long").alias(m) for m in MEASURES])
+    return keyed.select("_d", *keep).join(told, "_d").select(*keep, *MEASURES)
+
+
+def ledger(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row a document: ``keep``, every measurement, and ``failure_bits`` (bit r set: rule r fails)."""
+    held = [f"_keep{k}" for k in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(keep, held)], F.col(f"`{text}`").alias("_x"))
+    long = F.coalesce(F.octet_length("_x"), F.lit(0)) > LONG
+    measured = _in_row(rows.where(~long), held).unionByName(_by_rows(rows.where(long), held))
     bits = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(rule.fails(), F.lit(1 << rule.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measured.withColumn("failure_bits", bits)
+    taken = {*MEASURES, "failure_bits", "policy", "kept"}
+    return measured.withColumn("failure_bits", bits).withColumnsRenamed({h: f"{c}_kept" if c in taken else c for c, h in zip(keep, held)})
 
 
 def apply_policy(table: DataFrame, version: str = PRODUCTION) -> DataFrame:
