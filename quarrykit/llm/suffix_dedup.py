@@ -18,7 +18,10 @@ leftmost of its ``GRAM``-byte strings with the least hash. Equal windows pick th
    agree on the part of the window after the anchor, and the hash of the part before it splits those runs.
 4. Covered intervals meet their texts.
 
-Defined results: null texts are empty; texts under ``LENGTH`` bytes keep everything; rows without an id are known by
+In a periodic stretch (one letter again and again, say) every window stands again a period on. The stretch is one interval, done
+in step 1; only the windows of its first period have anchors.
+
+Defined results: texts of any length come by pieces; columns of the input may have any names; null texts are empty; texts under ``LENGTH`` bytes keep everything; rows without an id are known by
 their text; repeated rows are repeats of each other; an empty table gives no rows.
 """
 
@@ -53,44 +56,130 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, place, token, context) of the anchors of texts that lie in one chunk."""
-    long_ones = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
-    none = np.zeros(0, dtype=np.int64)
-    if not long_ones:
-        return none, none, none.view(np.uint64), none.view(np.uint64)
-    data = np.frombuffer(b"".join(texts[i] for i in long_ones), dtype=np.uint8)
-    size = np.array([len(texts[i]) for i in long_ones])
+def _mismatches(data: np.ndarray, lag: int) -> np.ndarray:
+    return np.flatnonzero(data[:-lag] != data[lag:])
+
+
+def _runs_of_gaps(place: np.ndarray) -> np.ndarray:
+    """The first of each run of even gaps between ``place`` that spans ``LENGTH`` bytes."""
+    gap = np.diff(place)
+    if not len(gap):
+        return gap
+    new = np.flatnonzero(np.concatenate([[True], gap[1:] != gap[:-1]]))
+    return new[np.diff(np.append(new, len(gap))) * gap[new] >= LENGTH]
+
+
+def _evenly_spaced(place: np.ndarray, begin: np.ndarray) -> list[int]:
+    """The texts that may have periodic stretches; a run that goes over texts by chance costs a look at its first."""
+    runs = _runs_of_gaps(place)
+    return np.unique(np.concatenate([np.searchsorted(begin, place[runs + k], side="right") - 1 for k in (0, 1)])).tolist() if len(runs) else []
+
+
+def periodic(data: np.ndarray, place: np.ndarray) -> list[tuple[int, int, int]]:
+    """(begin, end, period) of stretches of one text in which every byte equals the one a period on, ``LENGTH`` and a period
+    long at least. Such a stretch has anchors a period apart, so only even distances between ``place`` are looked at."""
+    out: list[tuple[int, int, int]] = []
+    known: dict[int, np.ndarray] = {}
+    for first in _runs_of_gaps(place).tolist():
+        at, lag = int(place[first]), int(place[first + 1] - place[first])
+        if lag >= LENGTH or out and at < out[-1][1] - LENGTH:
+            continue
+        if lag not in known:
+            known = {lag: _mismatches(data, lag)}
+        k = int(np.searchsorted(known[lag], at))
+        begin = int(known[lag][k - 1]) + 1 if k else 0
+        end = (int(known[lag][k]) if k < len(known[lag]) else len(data) - lag) + lag
+        if end - begin >= LENGTH + lag:
+            out.append((begin, end, lag))
+    return out
+
+
+def anchors(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of (text index, place, token, context, end) of the anchors of texts. Texts come by pieces of ``PIECE`` bytes, so the
+    arrays are small however long a text is. In a periodic stretch each window stands again a period on: the stretch is a row with
+    its ``end`` (that of anchors is 0), and only the windows of its first period pick anchors, which stand for the others."""
+    held: list[int] = []
+    total = 0
+    for i, t in enumerate(texts):
+        if len(t) < LENGTH:
+            continue
+        if len(t) > PIECE:
+            yield from _long_anchors(i, t)
+            continue
+        if total + len(t) > PIECE:
+            yield _anchors(held, [texts[k] for k in held])
+            held, total = [], 0
+        held.append(i)
+        total += len(t)
+    if held:
+        yield _anchors(held, [texts[k] for k in held])
+
+
+def _long_anchors(index: int, text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pieces with all the context of their windows' anchors. Places rise with windows, so a place that the piece before had
+    too is one that isn't beyond its last."""
+    upto = -1
+    step = PIECE - 2 * LENGTH
+    for a in range(0, len(text) - LENGTH + 1, step):
+        b = min(a + step, len(text) - LENGTH + 1)  # windows that start in a..b
+        low = max(a - LEFT, 0)
+        _, place, token, context, end = _anchors([index], [text[low : b + LEFT + LENGTH]], a - low, b - low)
+        place, end = place + low, np.where(end > 0, end + low, 0)
+        new = (place > upto) | (end > 0)
+        if (end == 0).any():
+            upto = max(upto, int(place[end == 0].max()))
+        yield np.full(int(new.sum()), index), place[new], token[new], context[new], end[new]
+
+
+def _anchors(index: list[int], texts: list[bytes], first: int = 0, last: int | None = None) -> tuple[np.ndarray, ...]:
+    """Of the windows that start in ``first`` to ``last`` of the texts' bytes together."""
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    size = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(size)])
     sums = tk.prefix_sums(data)
     at = np.arange(len(data) - GRAM + 1)
     token = tk.span_hashes(sums, at, at + GRAM)
-    found = []
-    step = PIECE - LENGTH
-    for a in range(0, len(data) - LENGTH + 1, step):
-        b = min(a + step, len(data) - LENGTH + 1)  # windows that start in a..b
-        part = token[a : b + LEFT]
-        ranked = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
-        least = _sliding_least(ranked, LEFT + 1)
-        start = np.arange(a, b)
-        owner = np.searchsorted(begin, start, side="right") - 1
-        inside = start + LENGTH <= begin[owner + 1]
-        found.append(np.unique((least[inside] & _PLACE).astype(np.int64)) + a)
-    place = np.unique(np.concatenate(found))
+    start = np.arange(first, len(data) - LENGTH + 1 if last is None else last)
+    part = token[first : len(start) + first + LEFT]
+    ranked = (part & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
+    least = (_sliding_least(ranked, LEFT + 1) & _PLACE).astype(np.int64) + first
+    inside = start + LENGTH <= begin[np.searchsorted(begin, start, side="right")]
+    place = np.unique(least[inside])
+    stretches = []
+    for k in _evenly_spaced(place, begin):
+        own = place[np.searchsorted(place, begin[k]) : np.searchsorted(place, begin[k + 1])] - begin[k]
+        stretches += [(x + int(begin[k]), y + int(begin[k]), lag) for x, y, lag in periodic(data[begin[k] : begin[k + 1]], own)]
+    if stretches:
+        for x, y, lag in stretches:
+            inside[max(x + lag - first, 0) : max(y - LENGTH + 1 - first, 0)] = False
+        place = np.unique(least[inside])
     owner = np.searchsorted(begin, place, side="right") - 1
     lo, hi = np.maximum(place - LEFT, begin[owner]), np.minimum(place + LENGTH, begin[owner + 1])
     with np.errstate(over="ignore"):
         context = tk.mix(tk.span_hashes(sums, lo, place) * np.uint64(3) + tk.span_hashes(sums, place, hi))
-    return np.array(long_ones)[owner], place - begin[owner], token[place], context
+    low, high = (np.array([s[k] for s in stretches], dtype=np.int64) for k in (0, 1))
+    whose = np.searchsorted(begin, low, side="right") - 1
+    none = np.zeros(len(low), dtype=np.uint64)
+    return (
+        np.array(index)[np.concatenate([owner, whose])],
+        np.concatenate([place - begin[owner], low - begin[whose]]),
+        np.concatenate([token[place], tk.mix(low.astype(np.uint64))]),  # stretches are dealt evenly
+        np.concatenate([context, none]),
+        np.concatenate([np.zeros(len(place), dtype=np.int64), high - begin[whose]]),
+    )
+
+
+ANCHORS = "token long, context long, id long, chk int, place long, end long"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in ANCHORS.split(", ")]
     for b in batches:
         key, check = b.column(0).to_numpy(), b.column(1).to_numpy()
         for first, held in tk.chunks(b.column(2).cast(pa.binary()).to_pylist()):
-            i, place, token, context = anchors(held)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(context.view(np.int64)), pa.array(key[first + i]), pa.array(check[first + i]), pa.array(place)], names=["token", "context", "id", "chk", "place"])
+            for i, place, token, context, end in anchors(held):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token.view(np.int64), context.view(np.int64), key[first + i], check[first + i], place, end)], names=names)
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +206,10 @@ def _runs_of_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return run, np.bincount(run)[run]
 
 
+def _judged_batch(kinds: list[list[np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*kinds)], names=["kind", "token", "id", "chk", "lo", "hi"])
+
+
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of a bucket -> kind 0: an interval; kind 1: an open anchor. A token's rows are judged together; the
     first and the last token of the bucket may go on beyond it."""
@@ -124,21 +217,23 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(rows, last: bool):
         nonlocal first
-        token, context, key, check, place = rows
+        direct = rows[5] > 0
+        done = [x[direct] for x in rows]
+        token, context, key, check, place, _ = (x[~direct] for x in rows)
+        kinds = [[np.zeros(len(done[0]), dtype=np.int32), done[0], done[2], done[3], done[4], done[5]]]
         if not len(token):
-            return None
+            return _judged_batch(kinds)
         run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
         border = np.zeros(run[-1] + 1, dtype=bool)
         border[0] |= first
         border[-1] |= last
         first = False
         full, waits = _judged(token, context, border)
-        kinds = []
         for kind, m in ((0, full), (1, waits)):
             p = place[m]
             lo, hi = (np.maximum(p - LEFT, 0), p + LENGTH) if kind == 0 else (p, p)
             kinds.append([np.full(len(p), kind, dtype=np.int32), token[m], key[m], check[m], lo, hi])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*kinds)], names=["kind", "token", "id", "chk", "lo", "hi"])
+        return _judged_batch(kinds)
 
     for b in batches:
         if not b.num_rows:
@@ -148,9 +243,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = [np.concatenate(x) for x in zip(held, rows)]
         cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last token waits for more rows
         held = [x[cut:] for x in rows]
-        done = out([x[:cut] for x in rows], False)
-        if done is not None:
-            yield done
+        if cut:
+            yield out([x[:cut] for x in rows], False)
     if held is not None:
         yield out(held, True)
 
@@ -265,10 +359,16 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     return docs.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.xxhash64(body))).withColumn("_chk", F.hash(body))
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with names of its own, so that none clashes with a name used here, and the new name of each old one."""
+    names = [f"_in{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
 def repeated_intervals(docs: DataFrame, text: str = "text") -> DataFrame:
     """``_id, _chk, spans`` (array of lo, hi; ends may pass the text's end) of the texts of ``keyed`` docs that repeat."""
     body = docs.select("_id", "_chk", F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = body.where(F.octet_length("t") >= LENGTH).mapInArrow(_anchor_rows, "token long, context long, id long, chk int, place long")
+    rows = body.where(F.octet_length("t") >= LENGTH).mapInArrow(_anchor_rows, ANCHORS)
     ranged = rows.repartitionByRange("token", "context", "id", "chk", "place").sortWithinPartitions("token", "context", "id", "chk", "place")
     judged = written(ranged.mapInArrow(_bucket, "kind int, token long, id long, chk int, lo long, hi long"), "anchors")
     waiting = judged.where("kind = 1").distinct().groupBy("id", "chk").agg(F.collect_list(F.struct("token", "lo")).alias("w"))
@@ -318,8 +418,9 @@ def _with_spans(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row."""
-    rows = _with_spans(docs.select(id_col, text), id_col, text)
-    return rows.select(F.col(id_col).cast("long"), F.coalesce(F.col(text), F.lit("")).cast("binary"), "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    own, name = _named(docs.select(id_col, text))
+    rows = _with_spans(own, name[id_col], name[text])
+    return rows.select(F.col(name[id_col]).cast("long"), F.coalesce(F.col(name[text]), F.lit("")).cast("binary"), "spans").mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -331,8 +432,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
         return pd.Series([None if x is None else _cut(x.encode(), None if s is None else list(s))[0].decode("utf-8", "ignore") for x, s in zip(t, spans)], dtype=object)
 
-    rows = _with_spans(docs, id_col, text)
-    return rows.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("spans")))).select(*docs.columns)
+    own, name = _named(docs)
+    rows, body = _with_spans(own, name[id_col], name[text]), name[text]
+    rows = rows.withColumn(body, F.when(F.col("spans").isNull(), F.col(body)).otherwise(cut(F.col(body), F.col("spans"))))
+    return rows.select(*own.columns).toDF(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
