@@ -1,14 +1,14 @@
 """Main text of web pages by tree scoring.
 
 A tolerant parser builds the tree of a page. Every paragraph gives points for its length and its commas to its
-ancestors, fewer to farther ones; a container's points are discounted by its link density and raised or lowered by what
-its name says it is. The best container is kept with those of its siblings that score well enough or read as prose;
+ancestors, half to each farther one; a container's points are discounted by its link density and raised or lowered by what
+its name says it is. Points are summed from the leaves up, so a page costs what its length is, however deep it is. The best container is kept with those of its siblings that score well enough or read as prose;
 out of it go menus, headers, footers, sidebars, notices, adverts, forms and reader comments. Every block of what is
 left is one line: character references decoded, white space as one space, trimmed.
 
 A page is a pure function of its html, so the operator is one Arrow pass without a shuffle. Defined results: null and
-empty pages, and pages without prose, have an empty text; unclosed and stray tags are closed or skipped; repeated rows
-pass one by one.
+empty pages, and pages without text, have an empty text; unclosed and stray tags are closed or skipped; repeated rows
+pass one by one; columns of the input that clash with names here don't matter, as only id, url and html are read.
 """
 
 from __future__ import annotations
@@ -38,29 +38,54 @@ SCOPE = frozenset("table ul ol dl td th body html article section main div block
 
 #: Never part of the main text.
 DROPPED = frozenset("head nav footer aside form button select input textarea script style noscript template iframe object embed svg math canvas audio video dialog menu label fieldset".split())
-UNLIKELY = re.compile(
-    r"(^|[-_\s])(ad|ads|advert\w*|banner|breadcrumbs?|combx|comments?|commentlist|community|consent|cookies?|cover-wrap|disqus|disclaimer|extra|footer|gdpr|header|legends|login|masthead"
-    r"|menu|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|pager|pagination|popup|promo\w*|related|remark|replies|respond|rss|share|shoutbox|sidebar|side|skyscraper"
-    r"|social|sponsor\w*|subscribe|supplemental|taboola|tags|toolbar|topbar|widget)($|[-_\s])",
-    re.I,
-)
-LIKELY = re.compile(r"(^|[-_\s])(article|body|content|entry|hentry|main|page|post|story|text|blog)($|[-_\s])", re.I)
+#: Words in names (class, id) that say what an element is, by the kinds that are not main text.
+KINDS = {
+    "menu": "menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topbar",
+    "header": "masthead",
+    "footer": "footer footers copyright",
+    "sidebar": "sidebar sidebars",
+    "notice": "notice notices cookie cookies consent gdpr popup modal overlay notification notifications disclaimer",
+    "advert": "ad ads advert adverts advertisement advertisements advertising promo promos promotion sponsor sponsored sponsors",
+    "form": "form forms login signin signup subscribe subscription newsletter searchbox",
+    "comment": "comment comments commentary reply replies respond discussion",
+    "other": "share sharing social related recommended widget widgets",
+}
+UNLIKELY = frozenset(" ".join(KINDS.values()).split())
+#: The same as whole names, or with one of ``SITE`` only: parts of an article are named so too.
+UNLIKELY_WHOLE = frozenset("header banner alert alerts search aside tags".split())
+SITE = frozenset("site page top global main web app".split())
+LIKELY = frozenset("article body content entry main post story text".split())
+#: The word after one of these says what an element has, not what it is.
+HAS = frozenset("has with without no is by".split())
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[^\x00-\x7f]+")
 ROLES = frozenset("menu menubar complementary navigation alert alertdialog dialog banner contentinfo search form".split())
-PARAGRAPHS = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = HEADINGS | frozenset("p pre td blockquote li dd".split())
+LISTS = frozenset("ul ol dl table div section".split())
+#: Quotes delimit a value after its equals sign only; the second form of a tag is for a quote that never ends.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|(?![\"'])))*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 COMMAS = re.compile("[,،、，]")
 BLANK = re.compile(r"\s+")
+#: Points of a paragraph: one a comma and one for so many characters; a container named as content, or an article, has some to begin with.
+POINT_CHARS, NAMED, ARTICLE = 80, 20, 10
+#: What an ancestor gets of the points of the one below.
+PASSED = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "name", "gone", "score", "chars", "link_chars")
+    __slots__ = ("tag", "parent", "children", "name", "gone", "score", "points", "commas", "own", "chars", "link_chars")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent = tag, parent
         self.children: list = []
-        self.name, self.gone, self.score, self.chars, self.link_chars = "", tag in DROPPED, 0.0, 0, 0
+        self.name, self.gone, self.score, self.points = "", tag in DROPPED, 0.0, 0.0
+        self.commas = self.own = self.chars = self.link_chars = 0
         if attributes and "=" in attributes or "hidden" in attributes:
             found = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(attributes)}
             self.name = f"{found.get('class', '')} {found.get('id', '')}".strip()
@@ -137,61 +162,66 @@ def _closed(here: Node, tag: str) -> Node:
 
 
 def _named(name: str) -> tuple[bool, bool]:
-    """(a name of content, a name of something else). A name with both parts (post-comments, main-nav) is of something
-    else; one that says what its element has (has-sidebar) tells nothing."""
+    """(a name of content, a name of something else). A name with both kinds of words (post-comments, main-nav) is of something else."""
     likely = unlikely = False
-    for part in name.split():
-        if part.lower().startswith(("has-", "with-", "no-", "is-")):
-            continue
-        if UNLIKELY.search(part):
+    for one in name.split():
+        words = [w.lower() for w in WORD.findall(one)]
+        own = [w for k, w in enumerate(words) if not k or words[k - 1] not in HAS]
+        if any(w in UNLIKELY for w in own) or len(own) < 3 and own and own[-1] in UNLIKELY_WHOLE and (len(own) == 1 or own[0] in SITE):
             unlikely = True
-        elif LIKELY.search(part):
+        elif any(w in LIKELY for w in own):
             likely = True
     return likely, unlikely
 
 
-def _weight(node: Node) -> int:
-    likely, unlikely = _named(node.name)
-    return 25 * likely - 25 * unlikely
-
-
-BASE = {"article": 20, "main": 15, "section": 5, "div": 5, "td": 3, "pre": 3, "blockquote": 3, "ul": -3, "ol": -3, "dl": -3, "header": -10}
-
-
-def _prepared(node: Node, linked: bool = False) -> None:
-    """Marks what goes and counts characters, inside links and in all."""
-    stack: list[tuple[Node, bool, bool]] = [(node, linked, False)]
+def _prepared(root: Node) -> None:
+    """Marks what goes, counts characters, inside links and in all, and sums points from the leaves up."""
+    stack: list[tuple[Node, bool, bool, bool]] = [(root, False, False, False)]
     while stack:
-        x, in_link, done = stack.pop()
+        x, in_link, in_article, done = stack.pop()
         if done:
-            if x.parent is not None and not x.gone:
-                x.parent.chars += x.chars
-                x.parent.link_chars += x.link_chars
+            _scored(x)
             continue
-        if not x.gone and x.tag not in ("body", "html", "article", "main") and x.name and _named(x.name) == (False, True):
-            x.gone = True
-        if x.tag == "header" and not _within(x, ("article",)):
+        likely, unlikely = _named(x.name) if x.name else (False, False)
+        x.score = NAMED * likely - NAMED * unlikely + (ARTICLE if x.tag in ("article", "main") else 0)
+        if unlikely and not likely and x.tag not in ("body", "html", "article", "main") or x.tag == "header" and not in_article:
             x.gone = True
         if x.gone:
             continue
-        in_link = in_link or x.tag == "a"
-        stack.append((x, in_link, True))
+        in_link, in_article = in_link or x.tag == "a", in_article or x.tag in ("article", "main")
+        stack.append((x, in_link, in_article, True))
         for c in x.children:
             if isinstance(c, str):
                 n = len(c.strip())
                 x.chars += n
                 x.link_chars += n * in_link
             else:
-                stack.append((c, in_link, False))
-
-
-def _within(node: Node, tags: tuple[str, ...]) -> bool:
-    node = node.parent
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
+                stack.append((c, in_link, in_article, False))
+
+
+def _scored(x: Node) -> None:
+    """Adds to a node, whose children are done, its own points and passes on what its parent gets."""
+    own = [c for c in x.children if isinstance(c, str) and c.strip()]
+    x.own += sum(len(c.strip()) for c in own)
+    if x.tag in PARAGRAPHS:
+        points = (x.commas + sum(len(COMMAS.findall(c)) for c in own) + x.chars / POINT_CHARS) * (1 - _density(x))
+        given, x.commas = points, 0
+    else:
+        x.commas += sum(len(COMMAS.findall(c)) for c in own)
+        given = 0.0
+        if x.tag in BLOCK or x.tag == "#root":
+            if x.own >= 25 or x.tag in ("body", "#root", "article") and own:
+                x.points += (x.commas + x.own / POINT_CHARS) * (1 - _density(x))
+            x.commas = 0
+    if x.parent is None:
+        return
+    up = x.parent
+    up.chars += x.chars
+    up.link_chars += x.link_chars
+    up.points += given + x.points * PASSED
+    if x.tag not in BLOCK:
+        up.commas += x.commas
+        up.own += x.chars
 
 
 def _density(node: Node) -> float:
@@ -219,78 +249,60 @@ def _words(node: Node) -> str:
     return "".join(out)
 
 
+def _value(x: Node) -> float:
+    return (x.points + x.score) * (1 - _density(x)) if x.points else 0.0
+
+
 def best(root: Node) -> Node | None:
     """The container with the most points after the discount for links."""
-    scored: dict[int, Node] = {}
-    for x in _each(root):
-        own = max((len(c.strip()) for c in x.children if isinstance(c, str)), default=0)
-        direct = x.tag in PARAGRAPHS or x.tag in ("div", "section", "article") and own >= 25 or x.tag in ("body", "#root") and own > 0
-        if not direct or x.chars < 1:
-            continue
-        text = _words(x) if x.tag in PARAGRAPHS else " ".join(c for c in x.children if isinstance(c, str))
-        points = (1.0 if len(text) >= 25 else 0.1) + len(COMMAS.findall(text)) + min(len(text) // 100, 3)
-        points *= 1 - _density(x)
-        up, level = x.parent if x.tag in PARAGRAPHS else x, 0
-        while up is not None and up.tag != "html":
-            if id(up) not in scored:
-                scored[id(up)] = up
-                up.score = BASE.get(up.tag, 0) + _weight(up)
-            up.score += points / (1, 2)[level] if level < 2 else points / (level * 3)
-            up, level = up.parent, level + 1
     top, most = None, 0.0
-    for x in scored.values():
-        if x.tag in ("li", "p", "ul", "ol", "tr") and x.parent is not None and id(x.parent) in scored:
-            continue
-        value = x.score * (1 - _density(x))
-        if top is None or value > most:
-            top, most = x, value
+    for x in _each(root):
+        if x.points > 0 and x.tag not in PARAGRAPHS | {"ul", "ol", "tr", "html"} and (top is None or _value(x) > most):
+            top, most = x, _value(x)
     return top
 
 
+def _menu(x: Node, before: Node | None) -> bool:
+    """Mostly links, and neither with a heading of its own nor right after one, as a list of references is."""
+    if x.tag not in LISTS or not x.chars or _density(x) <= 0.5:
+        return False
+    return (before is None or before.tag not in HEADINGS) and not any(y.tag in HEADINGS for y in _each(x))
+
+
 def _whole(top: Node) -> Node:
-    """The article (or else the main part) that ``top`` lies in, without the menus beside ``top``; ``top`` itself if there is none."""
-    chain = [top]
-    while chain[-1].parent is not None:
-        chain.append(chain[-1].parent)
+    """The article (or else the main part) that ``top`` lies in; ``top`` itself if there is none."""
     for tag in ("article", "main"):
-        k = next((k for k, x in enumerate(chain) if x.tag == tag), None)
-        if k is not None:
-            for child, holder in zip(chain[:k], chain[1 : k + 1]):
-                for x in holder.children:
-                    if isinstance(x, Node) and x is not child and not x.gone and x.tag in ("div", "section", "ul", "ol", "dl", "table") and _density(x) > 0.5:
-                        x.gone = not any(y.tag in ("h1", "h2") for y in _each(x))
-            return chain[k]
+        x: Node | None = top
+        while x is not None:
+            if x.tag == tag:
+                return x
+            x = x.parent
     return top
 
 
 def _kept(root: Node, top: Node) -> list[Node]:
     """The best container, with the whole article that it lies in, and the siblings that belong to it, in page order."""
-    least = max(10.0, 0.2 * top.score * (1 - _density(top)))
-    if top.tag != "body":
-        top = _whole(top)
-    if top.parent is None or top.tag in ("body", "article", "main"):
-        if top.tag != "article" or top.parent is None:
-            return [top]
+    least = max(10.0, 0.2 * _value(top))
+    top = _whole(top) if top.tag != "body" else top
+    if top.parent is None or top.tag in ("body", "main"):
+        return [top]
     out = []
     for x in top.parent.children:
         if x is top:
             out.append(x)
         elif isinstance(x, Node) and not x.gone:
-            same = 0.2 * top.score if x.name and x.name == top.name else 0.0
-            if x.score * (1 - _density(x)) + same >= least:
+            same = 0.2 * _value(top) if x.name and x.name == top.name else 0.0
+            if _value(x) + same >= least:
                 out.append(x)
             elif x.tag == "p":
                 text = _words(x).strip()
                 if len(text) > 80 and _density(x) < 0.25 or 0 < len(text) <= 80 and _density(x) == 0 and re.search(r"[.!?。](\s|$)", text):
                     out.append(x)
+            elif x.tag in HEADINGS and top.tag != "article":
+                out.append(x)
     return out
 
 
-def _linky(node: Node) -> bool:
-    """A list or table that is a menu."""
-    return node.tag in ("ul", "ol", "dl", "table") and node.chars > 0 and _density(node) > 0.5
-
-
 def blocks(nodes: list[Node]) -> list[str]:
     lines: list[str] = []
     run: list[str] = []
@@ -309,14 +321,22 @@ def blocks(nodes: list[Node]) -> list[str]:
             end()
         elif isinstance(x, str):
             run.append(x)
-        elif x.gone or _linky(x):
+        elif x.gone:
             continue
         elif x.tag == "br":
             run.append(" ")
         elif x.tag in BLOCK:
             end()
             stack.append(None)
-            stack.extend(reversed(x.children))
+            before, parts = None, []
+            for c in x.children:
+                if isinstance(c, str):
+                    parts.append(c)
+                elif not c.gone:
+                    if not _menu(c, before):
+                        parts.append(c)
+                    before = c
+            stack.extend(reversed(parts))
         else:
             stack.extend(reversed(x.children))
     end()
