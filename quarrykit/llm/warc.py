@@ -1,7 +1,8 @@
 """WARC archives as a chunked record table.
 
-A record is a run of rows (record_id, chunk_no) of at most ``CHUNK`` payload bytes each; chunk 0 has the header block
-too, and the last row closes the record. Headers and data, concatenated, are the record's bytes in a WARC/1.1 file.
+A record is a run of rows (record_id, chunk_no) of at most ``CHUNK`` payload bytes each; chunk 0 has the header blocks
+too (that of the record, and that of the HTTP response, as ``application/http`` asks), and the last row closes the record. Headers and data,
+concatenated, are the record's bytes in a WARC/1.1 file.
 Each row carries the SHA-1 of the payload up to and with it, so that a reader checks a record as it streams and no step
 holds a whole record: chunks are cut on the JVM side, and Python sees rows of ``CHUNK`` bytes.
 
@@ -10,13 +11,16 @@ others are revisit records that name it and store no payload. Which digest has c
 alone, dealt with salts, so a payload that a third of the pages share loads no single task.
 
 Defined results: null payloads are empty; rows without a page id are responses, and may be revisited only by none;
-repeated rows are equal records with one id: all those with the largest id are responses; an empty table gives no rows.
+a record's id names page, payload and target, so only repeated rows share one, being one record that stands twice: all those with the
+largest id are responses; payloads of any length are chunks; columns of the input that clash with names here don't matter, as only
+id, url and payload are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,31 +38,39 @@ def _crlf(*lines) -> Column:
     return F.concat_ws("\r\n", *lines)
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """The chunked record table of ``pages``."""
+def records(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", date: str | None = None) -> DataFrame:
+    """The chunked record table of ``pages``; ``date`` (ISO 8601, UTC) is that of all records, now by default."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("body"))
     page = page.withColumn("sha", F.sha1("body")).withColumn("bytes", F.octet_length("body").cast("long"))
     # narrow: ids and digests of pages that may have copies
-    large = page.where(f"bytes >= {REVISIT_LEAST} and page_id is not null").select("sha", "page_id")
-    copies = with_group(large, ["sha"], "page_id", winner=(F.max, "page_id")).where("group_rows > 1 and page_id < winner").select("page_id", "sha", F.col("winner").alias("refers_to")).distinct()
+    large = page.where(f"bytes >= {REVISIT_LEAST} and page_id is not null").select("sha", "page_id", F.struct("page_id", F.lower(F.hex(F.xxhash64("url"))).alias("target")).alias("last"))
+    copies = with_group(large, ["sha"], "page_id", winner=(F.max, "last")).where("group_rows > 1 and page_id < winner.page_id")
+    winner = F.concat(F.lit("urn:page:"), F.col("winner.page_id").cast("string"), F.lit(":"), F.col("sha"), F.lit(":"), F.col("winner.target"))
+    copies = copies.select("page_id", "sha", F.col("winner.page_id").alias("refers_to"), winner.alias("refers_to_id")).distinct()
     told = page.join(copies, ["page_id", "sha"], "left")
     revisit = F.col("refers_to").isNotNull()
     kept = F.when(revisit, F.lit(b"")).otherwise(F.col("body"))
-    uid = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("none-"), F.col("sha"))))
-    digest = F.concat(F.lit("sha1:"), F.col("sha"))
+    page_id = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
+    uri = F.regexp_replace("url", r"[\x00-\x20\x7F]", "_")
+    uid = F.concat(F.lit("urn:page:"), page_id, F.lit(":"), F.col("sha"), F.lit(":"), F.lower(F.hex(F.xxhash64("url"))))
+    http = _crlf(F.lit("HTTP/1.1 200 OK"), F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.col("bytes").cast("string")), F.lit("\r\n"))
     header = _crlf(
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: <"), uid, F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", r"[\r\n]", "%0A")),
-        F.concat(F.lit("WARC-Payload-Digest: "), digest),
-        F.concat(F.lit("WARC-Payload-Length: "), F.col("bytes").cast("string")),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
+        F.lit(f"WARC-Date: {date}"),
+        F.concat(F.lit("WARC-Target-URI: "), uri),
+        F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha")),
+        F.concat(F.lit("X-Page-ID: "), page_id),
+        F.concat(F.lit("X-Payload-Length: "), F.col("bytes").cast("string")),
+        F.when(revisit, F.concat(F.lit("X-Refers-To-Page: "), F.col("refers_to").cast("string"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), F.col("refers_to_id"), F.lit(">"))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.lit("Content-Type: text/html; charset=utf-8"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(kept).cast("string")),
-        F.lit("\r\n"),
+        F.lit("Content-Type: application/http; msgtype=response"),
+        F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.octet_length(kept)).cast("string")),
+        F.concat(F.lit("\r\n"), http),
     )
     # the table's key tells repeated rows apart
     key = F.concat(uid, F.lit("#"), F.monotonically_increasing_id().cast("string"))
@@ -84,7 +96,7 @@ def _with_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _fields(header: bytes) -> dict[str, str]:
-    lines = header.decode("utf-8").split("\r\n")
+    lines = header.decode("utf-8").split("\r\n\r\n", 1)[0].split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC header")
     return dict(x.split(": ", 1) for x in lines[1:] if ": " in x)
@@ -92,12 +104,13 @@ def _fields(header: bytes) -> dict[str, str]:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in the order of record and chunk -> a row a record, its payload hashed chunk by chunk."""
-    fields, running, length = None, None, 0
+    fields, running, length, http = None, None, 0, 0
     for b in batches:
         out = []
         for record, no, last, header, data, told in zip(*(b.column(k).to_pylist() for k in range(4)), b.column(4), b.column(5).to_pylist()):
             if no == 0:
                 fields, running, length = _fields(header), hashlib.sha1(), 0
+                http = len(header) - header.index(b"\r\n\r\n") - 4
             buffer = data.as_buffer()
             running.update(buffer)
             length += buffer.size
@@ -105,19 +118,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"{record}: chunk {no} does not match its digest")
             if last:
                 revisit = fields["WARC-Type"] == "revisit"
-                if length != int(fields["Content-Length"]):
-                    raise ValueError(f"{record}: {length} bytes instead of {fields['Content-Length']}")
+                if http + length != int(fields["Content-Length"]):
+                    raise ValueError(f"{record}: {http + length} bytes instead of {fields['Content-Length']}")
                 if not revisit and f"sha1:{running.hexdigest()}" != fields["WARC-Payload-Digest"]:
                     raise ValueError(f"{record}: payload digest differs")
                 page = fields["WARC-Record-ID"].removeprefix("<urn:page:").removesuffix(">")
                 out.append(
                     {
-                        "page_id": None if page.startswith("none-") else int(page),
+                        "page_id": None if fields["X-Page-ID"] == "none" else int(fields["X-Page-ID"]),
                         "url": fields.get("WARC-Target-URI", ""),
-                        "payload_bytes": int(fields["WARC-Payload-Length"]) if revisit else length,
+                        "payload_bytes": int(fields["X-Payload-Length"]) if revisit else length,
                         "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else running.hexdigest(),
                         "record_type": fields["WARC-Type"],
-                        "refers_to": int(fields["WARC-Refers-To"].removeprefix("<urn:page:").removesuffix(">")) if revisit else None,
+                        "refers_to": int(fields["X-Refers-To-Page"]) if revisit else None,
                     }
                 )
         yield pa.RecordBatch.from_pylist(out, schema=_READ)
@@ -136,21 +149,25 @@ def read_back(table: DataFrame) -> DataFrame:
 
 
 def export(table: DataFrame, folder: str) -> None:
-    """``.warc`` files, one a partition, into a folder that executors share and mount."""
+    """``.warc`` files, one a partition and named by it, into a folder that executors share and mount. A task that runs again,
+    or twice at a time, puts the same records in the place of its file, so none stands twice."""
 
     def files(batches):
         import os
         import uuid
 
-        path = os.path.join(folder, f"part-{uuid.uuid4().hex}.warc")
-        with open(path + ".tmp", "wb") as out:
+        from pyspark import TaskContext
+
+        path = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.warc")
+        own = f"{path}.{uuid.uuid4().hex}.tmp"
+        with open(own, "wb") as out:
             for b in batches:
                 for last, header, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
                     out.write(header or b"")
                     out.write(data.as_buffer())
                     if last:
                         out.write(b"\r\n\r\n")
-        os.replace(path + ".tmp", path)
+        os.replace(own, path)
         yield pa.RecordBatch.from_pydict({"path": [path]})
 
     table.repartition("record_id").sortWithinPartitions("record_id", "chunk_no").mapInArrow(files, "path string").count()
@@ -158,21 +175,27 @@ def export(table: DataFrame, folder: str) -> None:
 
 def read_file(stream, size: int = 1 << 16) -> Iterator[dict]:
     """Header fields, payload length and SHA-1 of each record of a ``.warc`` stream, ``size`` bytes at a time."""
+
+    def block() -> list[bytes]:
+        lines = []
+        while (line := stream.readline()) not in (b"\r\n", b""):
+            lines.append(line)
+        return lines
+
     while line := stream.readline():
         if line.strip() == b"":
             continue
-        header = [line]
-        while (line := stream.readline()) not in (b"\r\n", b""):
-            header.append(line)
-        fields = _fields(b"".join(header))
-        left, running = int(fields["Content-Length"]), hashlib.sha1()
+        fields = _fields(b"".join([line, *block()]))
+        http = sum(map(len, block())) + 2  # with the blank line that ends it
+        length = left = int(fields["Content-Length"]) - http
+        running = hashlib.sha1()
         while left:
             data = stream.read(min(size, left))
             if not data:
                 raise EOFError("record ends early")
             running.update(data)
             left -= len(data)
-        yield fields | {"length": int(fields["Content-Length"]), "sha1": running.hexdigest()}
+        yield fields | {"length": length, "sha1": running.hexdigest()}
 
 
 def query(spark, sf_dir: str) -> DataFrame:
