@@ -6,13 +6,15 @@ end every bin shrinks to the least permitted length that holds its contents. Wha
 plus a charge for a bin, by default). The permitted lengths are optimised jointly: a group is packed once for each
 opening rule (the least cost among lengths of at least f times the piece, for several f), and the cheapest result stays.
 
-Texts longer than the largest length are cut into pieces of it and a rest. Rows are dealt by a hash of id and length
+Texts longer than the largest length are cut into pieces of it and a rest. Rows are dealt by a hash of id, length and row
 into groups of about ``GROUP`` texts and each group is packed by itself: only ids and lengths move, tasks are even, and with
 thousands of texts in a group what groups lose against one global packing is less than a bin of each length. The number of
 groups follows the number of rows.
 
 Defined results: null and blank texts have the end token only; rows without an id are packed like others; repeated
-rows are packed one by one; an empty table gives no rows.
+rows are packed one by one, and no id, however often it stands, fills a group; of bins with equal room the one that got this room
+last takes a piece; of opening rules of equal cost the first counts; texts of any length are cut, none is dropped; columns of the
+input may have any names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,7 +88,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None,
     size = n_tokens(F.col("text")) if length is None else length
     groups = max(1, -(-docs.count() // GROUP))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("n"))
-    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(groups)))
+    rows = rows.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "n", F.monotonically_increasing_id()), F.lit(groups)))
     piece = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / top) - 1, F.lit(0)).cast("int")))
     rows = rows.select("pack_group", "doc_id", "n", piece.alias("piece"))
     rows = rows.select("pack_group", "doc_id", "piece", (F.col("piece").cast("long") * top).alias("token_start"), F.least(F.lit(top), F.col("n") - F.col("piece").cast("long") * top).cast("int").alias("n_tokens"))
