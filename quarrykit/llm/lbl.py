@@ -11,8 +11,8 @@ A class has a slot for each word of it that the dictionary knows, and one for th
 embedding of its own, and every other one, seen or not, has a class: classes are ranges in the order of words' last two bytes
 with even token mass, and parts by hash of endings that hold more, so mostly words with one ending share a class.
 
-Training is noise-contrastive: batches of targets against shared noise drawn from the units' distribution, and words of a class in
-blocks against shared noise drawn from that class. Both factors start at the smoothed unigrams. Normalisers of all (u, v) come once
+Training is noise-contrastive: batches of targets against shared noise drawn from the units' distribution, and words of a class against
+that class's noise, of which the expectation is taken over all its slots. Both factors start at the smoothed unigrams. Normalisers of all (u, v) come once
 from a product of two matrices; those of words in a class from one product a class over a batch of texts.
 """
 
@@ -27,17 +27,16 @@ import numpy as np
 #: Head words at least, and cube roots of the training tokens.
 HEAD, GROWTH = 958, 4
 #: Classes of the other words, about.
-CLASSES = 512
+CLASSES = 1024
 DIM = 24
 NOISE, CLASS_NOISE = 64, 8
-#: Targets of a class that share their noise.
-SHARING = 8
-BATCH = 4096
+BATCH, CLASS_BATCH = 4096, 256
+#: Scores that are computed at a time.
+CELLS = 1 << 17
 RATE, CLASS_RATE = 0.15, 0.5
 ROUNDS = 2
 #: Where the sums of squared gradients begin.
 SQUARE = np.float32(0.1)
-_POOL = 1 << 20
 
 
 def head_words(tokens: int) -> int:
@@ -79,31 +78,26 @@ class Classes:
         return out
 
 
-def _gathered(rows: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places below ``size`` that occur, and the sums of ``rows`` at each."""
-    held = np.zeros(size, dtype=np.int32)
-    held[at] = 1
-    seen = np.flatnonzero(held)
-    held[seen] = np.arange(len(seen))
-    at = held.take(at)
-    out = np.empty((rows.shape[1], len(seen)), dtype=np.float32)
+def _gathered(rows: np.ndarray, at: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places that occur, and the sums of ``rows`` at each. ``scratch`` has a cell a place, with anything in it."""
+    every = np.arange(len(at), dtype=scratch.dtype)
+    scratch[at] = every
+    last = scratch.take(at)  # of each place the last row that names it
+    own = last == every
+    at, to = at[own], (np.cumsum(own) - 1).take(last)
+    out = np.empty((rows.shape[1], len(at)), dtype=np.float32)
     for k, column in enumerate(rows.T.astype(np.float64)):
-        out[k] = np.bincount(at, weights=column, minlength=len(seen))
-    return seen, np.ascontiguousarray(out.T)
-
-
-def _blocks(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, place there, kind of each block): ``SHARING`` neighbours of a kind at most make a block. ``kind`` rises."""
-    new = np.concatenate([[True], kind[1:] != kind[:-1]])
-    run, start = np.cumsum(new) - 1, np.flatnonzero(new)
-    rank = np.arange(len(kind)) - start[run]
-    count = -(-np.diff(np.append(start, len(kind))) // SHARING)
-    base = np.cumsum(count) - count
-    return base[run] + rank // SHARING, rank % SHARING, np.repeat(kind[start], count)
+        out[k] = np.bincount(to, weights=column, minlength=len(at))
+    return at, np.ascontiguousarray(out.T)
 
 
 def _sure(score: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+    """The logistic function, in place."""
+    score *= 0.5
+    np.tanh(score, out=score)
+    score += 1
+    score *= 0.5
+    return score
 
 
 @dataclass
@@ -117,6 +111,7 @@ class Model:
     d: np.ndarray = field(default=None)
     t: np.ndarray = field(default=None)
     squares: dict = field(default=None)  # of gradients so far
+    scratch: np.ndarray = field(default=None)
 
     @staticmethod
     def fresh(units: np.ndarray, first: np.ndarray, slots: np.ndarray) -> Model:
@@ -140,65 +135,63 @@ class Model:
     def _step(self, name: str, rows: np.ndarray, at: np.ndarray, rate: float) -> None:
         """AdaGrad by row; rows that a batch doesn't name have no gradient and stay."""
         table = getattr(self, name)
-        at, g = _gathered(rows, at, len(table))
+        at, g = _gathered(rows, at, self.scratch)
         state = self.squares[name][at] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
         self.squares[name][at] = state
         table[at] = table.take(at, axis=0) + (np.float32(rate) / np.sqrt(state))[:, None] * g
 
     def train(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, rng: np.random.Generator, slow: float = 1.0) -> None:
         """One pass over (two units before, unit, slot or -1), in batches; the state of the steps goes on from call to call."""
-        noise_p = np.log(self.unigram * NOISE).astype(np.float32)
-        cumulative = np.cumsum(self.unigram)
-        slot_p = np.log(self.share * CLASS_NOISE).astype(np.float32)
         if self.squares is None:
             self.squares = {k: np.full(len(x), SQUARE) for k, x in self.tables.items()}
-        pool, segment = self._noise(rng)
-        class_0 = len(self.unigram) - len(self.first)  # the first class's unit; the last unit is the end
+            self.scratch = np.zeros(len(self.r), dtype=np.int32)
+        self._train_units(u, v, unit, rng, slow)
+        self._train_classes(u, v, unit, slot, slow)
+
+    def _train_units(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, rng: np.random.Generator, slow: float) -> None:
+        noise_p = np.log(self.unigram * NOISE).astype(np.float32)
+        cumulative = np.cumsum(self.unigram)
         for s in range(0, len(unit), BATCH):
-            x, y, w, z = (a[s : s + BATCH] for a in (u, v, unit, slot))
+            x, y, w = (a[s : s + BATCH] for a in (u, v, unit))
             k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(cumulative) - 1)
             rx, ry = self.r.take(x, axis=0), self.r.take(y, axis=0)
-            p = self.c[0] * rx + self.c[1] * ry
+            p = np.ones((len(w), DIM + 1), dtype=np.float32)  # the last column is for the bias
+            p[:, :DIM] = self.c[0] * rx + self.c[1] * ry
             q, qk = self.q.take(w, axis=0), self.q.take(k, axis=0)
             # d(log-likelihood)/ds: 1 - P(data) for the target, -P(data) for each noise unit
-            dp = 1 - _sure(np.einsum("ij,ij->i", p, q[:, :DIM]) + q[:, DIM] - noise_p[w])
-            dn = -_sure(p @ qk[:, :DIM].T + qk[:, DIM] - noise_p[k])
-            gp = dp[:, None] * q[:, :DIM] + dn @ qk[:, :DIM]
+            dp = 1 - _sure(np.einsum("ij,ij->i", p, q) - noise_p[w])
+            dn = p @ qk.T
+            dn -= noise_p[k]
+            _sure(dn)
+            gp = (dp[:, None] * q - dn @ qk)[:, :DIM]
             scale = np.float32(len(w) ** -0.5)
-            one = lambda a: np.concatenate([a, np.ones((len(a), 1), dtype=np.float32)], axis=1)
-            grad_x, grad_y = gp * self.c[0], gp * self.c[1]
-            new_c = np.stack([(gp * rx).sum(axis=0), (gp * ry).sum(axis=0)])
-            tail = np.flatnonzero(z >= 0)
-            if len(tail):
-                tail = tail[np.argsort((w[tail] - class_0).astype(np.int16), kind="stable")]
-                block, place, kind = _blocks(w[tail] - class_0)
-                px, py, own = rx.take(tail, axis=0), ry.take(tail, axis=0), z[tail]
-                p2 = self.d[0] * px + self.d[1] * py
-                drawn = pool[segment[kind, None] + (rng.random((len(kind), CLASS_NOISE), dtype=np.float32) * (segment[kind + 1] - segment[kind])[:, None]).astype(np.int64)]
-                targets = np.zeros((len(kind), SHARING, DIM + 1), dtype=np.float32)  # with ones for the bias
-                targets[block, place, :DIM], targets[block, place, DIM] = p2, 1
-                noise, t = self.t.take(drawn, axis=0), self.t.take(own, axis=0)
-                dp2 = 1 - _sure(np.einsum("ij,ij->i", p2, t[:, :DIM]) + t[:, DIM] - slot_p[own])
-                dn2 = -_sure(targets @ noise.transpose(0, 2, 1) - slot_p[drawn][:, None, :]) * targets[:, :, DIM:]
-                gp2 = dp2[:, None] * t[:, :DIM] + (dn2 @ noise[:, :, :DIM])[block, place]
-                self._step("t", np.concatenate([dp2[:, None] * one(p2), (dn2.transpose(0, 2, 1) @ targets).reshape(-1, DIM + 1)]), np.concatenate([own, drawn.ravel()]), CLASS_RATE * slow)
-                grad_x[tail] += gp2 * self.d[0]
-                grad_y[tail] += gp2 * self.d[1]
-                self._step("d", np.stack([(gp2 * px).sum(axis=0), (gp2 * py).sum(axis=0)]) * scale, np.arange(2), RATE * slow)
-            self._step("q", np.concatenate([dp[:, None] * one(p), dn.T @ one(p)]) * scale, np.concatenate([w, k]), RATE * slow)
-            self._step("r", np.concatenate([grad_x, grad_y]) * scale, np.concatenate([x, y]), RATE * slow)
-            self._step("c", new_c * scale, np.arange(2), RATE * slow)
-
-    def _noise(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-        """(slots drawn from the shares in their class, class after class; where each class begins)."""
-        n = len(self.first) - 1
-        each = max(1 << 10, _POOL // max(n, 1))
-        upto = np.cumsum(self.share)
-        begin = np.concatenate([[0.0], upto])[self.first]
-        draws = begin[:-1, None] + rng.random((n, each)) * np.diff(begin)[:, None]
-        drawn = np.searchsorted(upto, draws.ravel()).reshape(n, each) if n else np.zeros((0, each), dtype=np.int64)
-        drawn = np.clip(drawn, self.first[:-1, None], self.first[1:, None] - 1)
-        return drawn.ravel(), np.arange(n + 1) * each
+            self._step("q", np.concatenate([(dp * scale)[:, None] * p, dn.T @ (p * -scale)]), np.concatenate([w, k]), RATE * slow)
+            self._step("r", np.concatenate([gp * (self.c[0] * scale), gp * (self.c[1] * scale)]), np.concatenate([x, y]), RATE * slow)
+            self._step("c", np.stack([np.einsum("ij,ij->j", gp, rx), np.einsum("ij,ij->j", gp, ry)]) * scale, np.arange(2), RATE * slow)
+
+    def _train_classes(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, slow: float) -> None:
+        """Words against the noise of their class, whose expectation is taken over all slots of the class."""
+        for at, a, b in self._classes(unit, slot):
+            t, state = self.t[a:b], self.squares["t"][a:b]
+            ratio = (CLASS_NOISE * self.share[a:b]).astype(np.float32)
+            log_ratio = np.log(ratio)
+            for s in range(0, len(at), CLASS_BATCH):
+                k = at[s : s + CLASS_BATCH]
+                rx, ry = self.r.take(u[k], axis=0), self.r.take(v[k], axis=0)
+                p = np.ones((len(k), DIM + 1), dtype=np.float32)
+                p[:, :DIM] = self.d[0] * rx + self.d[1] * ry
+                sure = p @ t.T
+                sure -= log_ratio
+                _sure(sure)
+                own = (np.arange(len(k)), slot[k] - a)
+                target = 1 - sure[own]
+                sure *= -ratio
+                sure[own] += target
+                gp = (sure @ t)[:, :DIM]
+                g = sure.T @ p
+                state += np.einsum("ij,ij->i", g, g) / np.float32(DIM + 1)
+                t += (np.float32(CLASS_RATE * slow) / np.sqrt(state))[:, None] * g
+                self._step("d", np.stack([np.einsum("ij,ij->j", gp, rx), np.einsum("ij,ij->j", gp, ry)]) * np.float32(len(k) ** -0.5), np.arange(2), RATE * slow)
 
     def log_normalisers(self) -> np.ndarray:
         """log of the sum of exp(s) over units for every context (u, v). exp(s) is a product of a factor of (u, w) and one of
@@ -222,22 +215,23 @@ class Model:
             x, y, w = (a[s : s + (1 << 16)] for a in (u, v, unit))
             q = self.q[w]
             out[s : s + (1 << 16)] = np.einsum("ij,ij->i", self.c[0] * self.r[x] + self.c[1] * self.r[y], q[:, :DIM]) + q[:, DIM] - normal[x, y]
-        for at, scores, own in self._classes(u, v, unit, slot):
-            top = scores.max(axis=1)
-            out[at] += scores[np.arange(len(at)), own] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+        for every, a, b in self._classes(unit, slot):
+            t = self.t[a:b]
+            step = max(1, CELLS // (b - a))
+            for s in range(0, len(every), step):
+                at = every[s : s + step]
+                p = self.d[0] * self.r[u[at]] + self.d[1] * self.r[v[at]]
+                scores = p @ t[:, :DIM].T + t[:, DIM]
+                top = scores.max(axis=1)
+                out[at] += scores[np.arange(len(at)), slot[at] - a] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
         return out
 
-    def _classes(self, u, v, unit, slot, cells: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(places, scores of all slots of their class, own slot in it), a class at a time, ``cells`` scores at most."""
+    def _classes(self, unit: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(places of the words of a class, its first slot, its end), for each class that occurs."""
         tail = np.flatnonzero(slot >= 0)
-        tail = tail[np.argsort(unit[tail], kind="stable")]
-        kind = unit[tail] - (len(self.unigram) - len(self.first))
-        edge = np.searchsorted(kind, np.arange(len(self.first)))
+        kind = (unit[tail] - (len(self.unigram) - len(self.first))).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        tail = tail[order]
+        edge = np.searchsorted(kind[order], np.arange(len(self.first)))
         for k in np.flatnonzero(np.diff(edge)).tolist():
-            a, b = int(self.first[k]), int(self.first[k + 1])
-            t = self.t[a:b]
-            step = max(1, cells // (b - a))
-            for s in range(int(edge[k]), int(edge[k + 1]), step):
-                at = tail[s : min(s + step, int(edge[k + 1]))]
-                p = self.d[0] * self.r[u[at]] + self.d[1] * self.r[v[at]]
-                yield at, p @ t[:, :DIM].T + t[:, DIM], slot[at] - a
+            yield tail[edge[k] : edge[k + 1]], int(self.first[k]), int(self.first[k + 1])

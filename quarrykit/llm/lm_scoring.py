@@ -41,7 +41,7 @@ LONGEST = 48
 #: Distinct words that a task holds before it passes its counts on.
 FLUSH = 200_000
 #: Shards are the square root of the training tokens over this.
-SHARD = 1 << 18
+SHARD = 1 << 20
 #: Rows of the model that travel together.
 BLOCK = 256
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -220,7 +220,7 @@ def encoded(rows: DataFrame, words) -> DataFrame:
                 m = len(texts)
                 cut = first.tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, m), b.column(1).slice(at, m), pa.array([ids[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary()), pa.array(np.add.reduceat(seen[ids].astype(np.int64), first[:-1])),
+                    [b.column(0).slice(at, m), b.column(1).slice(at, m), pa.array([_packed(ids[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array(np.add.reduceat(seen[ids].astype(np.int64), first[:-1])),
                      pa.array(np.add.reduceat(logs[ids], first[:-1])), pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
                     names=["doc_id", "held_out", "ids", "n_known", "base", "rare"],
                 )
@@ -228,8 +228,17 @@ def encoded(rows: DataFrame, words) -> DataFrame:
     return rows.mapInArrow(out, ENCODED)
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on: the higher ones are alike and compress well."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
 def _decoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(texts), dtype=np.int32), np.concatenate([[0], np.cumsum([len(t) // 4 for t in texts])])
+    first = np.concatenate([[0], np.cumsum([len(t) // 4 for t in texts])])
+    out = np.empty((int(first[-1]), 4), dtype=np.uint8)
+    for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist()):
+        out[a:b] = np.frombuffer(t, dtype=np.uint8).reshape(4, -1).T
+    return out.reshape(-1).view("<i4"), first
 
 
 def trained(texts: DataFrame, words, n_tokens: int) -> lbl.Model:
