@@ -41,7 +41,7 @@ def most_frequent(counts: DataFrame, count: str, most: int) -> DataFrame:
     return counts.where(F.lit(False) if cut is None else step >= cut)
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def connected(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component)."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     x, y = at[: len(a)], at[len(a) :]
@@ -62,7 +62,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if held:
         table = pa.Table.from_batches(held)
-        node, root = _roots(table["a"].to_numpy(), table["b"].to_numpy())
+        node, root = connected(table["a"].to_numpy(), table["b"].to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["node", "root"])
 
 

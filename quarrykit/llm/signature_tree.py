@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from quarrykit.llm.graph import connected
+
 FAN = 16
 _STEP = 1 << 18  # words compared at a time
 
@@ -60,10 +62,14 @@ class Joined:
         self.label = np.arange(n)
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist()):
-            p, q = self.label[x], self.label[y]
-            if p != q:
-                self.label[self.label == max(p, q)] = min(p, q)
+        """Takes in many links at once: what they connect gets the smallest label, in one pass over the members."""
+        p, q = self.label[a], self.label[b]
+        apart = p != q
+        if apart.any():
+            nodes, roots = connected(p[apart], q[apart])
+            new = np.arange(len(self.label))
+            new[nodes] = roots
+            self.label = new[self.label]
 
 
 def join(a: Tree, b: Tree, joined: Joined, in_a: np.ndarray, in_b: np.ndarray, num: int, den: int) -> None:

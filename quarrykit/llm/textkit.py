@@ -1,17 +1,20 @@
 """Words and hashes of many texts at once, in numpy.
 
 Words are runs of bytes other than ASCII white space, lower-cased in A-Z only. All hashes are 64 bits: a word is the
-polynomial of its bytes modulo 2**64, mixed; a shingle mixes its words' hashes with their places.
+polynomial of its bytes modulo 2**64, mixed, or, beyond ``LONG_WORD`` bytes, its BLAKE2 digest (such polynomials have known clashes from
+1,024 bytes on); a shingle mixes its words' hashes with their places.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 #: Texts are taken together up to about this many bytes, so that the arrays stay small; a longer text goes alone.
 CHUNK = 1 << 20
+LONG_WORD = 64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
@@ -82,6 +85,8 @@ class Words:
         at = np.flatnonzero(edge)
         self.start, self.end = at[::2], at[1::2]
         self.hash = span_hashes(prefix_sums(self.data), self.start, self.end)
+        for k in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            self.hash[k] = int.from_bytes(hashlib.blake2b(self.data[self.start[k] : self.end[k]].tobytes(), digest_size=8).digest(), "big")
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.first = np.concatenate([[0], np.searchsorted(self.start, ends)])
         self.n = np.diff(self.first)

@@ -97,6 +97,23 @@ def test_quality_hash_candidates_are_verified(spark):
     assert got.n_repeat_words == measured(text)[4]
 
 
+def test_quality_of_long_texts_is_the_same_by_rows(spark, docs, rows, monkeypatch):
+    named = lambda d: collections.Counter(tuple(r) for r in d.collect())
+    odd = docs.unionByName(spark.createDataFrame([(700 + k, t, "en", "s", 0, None, None) for k, t in enumerate(["a b c\n" * 90, "\n\n- x...\n" * 40, "ab" * 300 + " " + "ab" * 300, " \n" * 200, "x\ty\r\nz... \n" * 30])], DOCS))
+    expected = named(quality.ledger(odd))
+    monkeypatch.setattr(quality, "LONG", 200)
+    monkeypatch.setattr(quality, "PIECE", 50)
+    assert named(quality.ledger(odd)) == expected
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    table = spark.createDataFrame([(1, "a b c", 7, "t", 9, 3)], "doc_id long, body string, n_words int, _t string, failure_bits int, _x int")
+    got = quality.apply_policy(quality.ledger(table, "body", ("doc_id", "_t", "n_words", "failure_bits", "_x", "body"))).first()
+    assert (got._t, got.n_words_kept, got.failure_bits_kept, got._x, got.body, got.n_words) == ("t", 7, 9, 3, "a b c", 3)
+    long = spark.createDataFrame([(1, "a b c d " * 200, 5)], "doc_id long, text string, kept int")
+    assert quality.kept(long, "base-1").columns == long.columns
+
+
 def test_shards_follow_the_mixture(spark, docs, rows):
     out = sharding.assign(docs, 5).toPandas()
     n = len(rows)
@@ -318,6 +335,11 @@ def test_warc_round_trip(spark, tmp_path):
             found += list(warc.read_file(stream, 1000))
     assert len(found) == len(pages)
     assert all(f["WARC-Payload-Digest"] == "sha1:" + f["sha1"] for f in found if f["WARC-Type"] == "response")
+    assert all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"]) and f["Content-Type"].startswith("application/http") for f in found)
+    ids = collections.Counter(f["WARC-Record-ID"] for f in found)
+    assert all(f["WARC-Refers-To"] in ids for f in found if f["WARC-Type"] == "revisit") and max(ids.values()) == 1
+    warc.export(table, str(folder))  # again: the same files, no record twice
+    assert sum(len(list(warc.read_file(path.open("rb")))) for path in folder.iterdir()) == len(pages)
     assert warc.read_back(storage.written(warc.records(df.limit(0)), "t")).count() == 0
 
 
@@ -380,6 +402,31 @@ def test_signature_trees_find_every_pair():
     assert joined.label.tolist() == parent
 
 
+def test_long_words_that_clash_as_polynomials_are_apart(spark):
+    fold = "a"
+    for _ in range(11):
+        fold += fold.translate(str.maketrans("ab", "ba"))
+    pair = [fold, fold.translate(str.maketrans("ab", "ba"))]
+    sums = [textkit.span_hashes(textkit.prefix_sums(np.frombuffer(x.encode(), dtype=np.uint8)), np.array([0]), np.array([len(x)]))[0] for x in pair]
+    assert sums[0] == sums[1]  # why long words have another hash
+    rows = [(k, f"{x} and some other words") for k, x in enumerate(pair, 1)]
+    got = {r.id: r.component_id for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_a_large_group_of_near_copies_of_one_size(spark):
+    rng = random.Random(14)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(6000):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{rng.randrange(3000)}"
+        texts.append((k, " ".join(words)))
+    texts += [(9000 + k, " ".join(f"y{k}_{j}" for j in range(60))) for k in range(50)]
+    got = {r.id: r.component_id for r in ngram_join.link_components(spark.createDataFrame(texts, "doc_id long, text string"), 3, 8, 10).collect()}
+    assert {got[k] for k, _ in texts[:6000]} == {0} and all(got[k] == k for k, _ in texts[6000:])
+
+
 def test_components_by_contraction(spark, monkeypatch):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)]
@@ -417,6 +464,65 @@ def test_html_keeps_the_whole_article():
         assert lines[0] == "The title" and len(lines) == 17
 
 
+def pages(rng, count):
+    """(html, main text): articles in many wrappings, among all that is no article."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randrange(2, 10)))
+    some = lambda a, b: " ".join(word() + rng.choice(["", "", "", ","]) for _ in range(rng.randrange(a, b))) + "."
+    links = lambda n: "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n))
+    for _ in range(count):
+        title, blocks, lines = some(3, 9), [], []
+        for k in range(rng.randrange(4, 14)):
+            kind = rng.choice(["p", "p", "p", "p", "h2", "blockquote", "ul", "pre", "refs", "open"])
+            text = some(15, 60) if kind in ("p", "blockquote", "open") else some(2, 7)
+            if kind == "ul":
+                items = [some(5, 15) for _ in range(3)]
+                blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+                lines += items
+            elif kind == "refs":
+                names = [word() for _ in range(3)]
+                blocks.append("<h3>Sources</h3><ol>" + "".join(f"<li><a href='/{x}'>{x}</a></li>" for x in names) + "</ol>")
+                lines += ["Sources", *names]
+            else:
+                tag = "p" if kind == "open" else kind
+                blocks.append(f"<{tag}>{text.replace(' ', ' <i>', 1).replace(' ', '</i> ', 2) if kind == 'p' and k % 3 == 0 else text}" + ("" if kind == "open" else f"</{tag}>"))
+                lines.append(text)
+        inner = "".join(blocks)
+        form = rng.randrange(6)
+        body = [
+            f"<article><h1>{title}</h1>{inner}</article>",
+            f'<main><header><h1>{title}</h1></header><div class="entry-content">{inner}</div></main>',
+            f'<article class=post data-t=it\'s><header class="article-header"><h1>{title}</h1></header><section>{inner}</section></article>',
+            f'<div id="content"><h1>{title}</h1>{inner}</div>',
+            f'<div class="page has-sidebar"><div class="story"><h1>{title}</h1>{inner}</div></div>',
+            f"<main><article><h1>{title}</h1><div>{inner}</div></article></main>",
+        ][form]
+        noise = [
+            f"<nav><ul>{links(5)}</ul></nav>", f'<div class="main-nav"><ul>{links(6)}</ul></div>', f'<header><div class=logo>{some(2, 5)}</div></header>', f'<div class="cookie-notice">{some(9, 20)}</div>',
+            f'<div class="ad">{some(5, 20)}</div>', f"<aside><p>{some(20, 40)}</p></aside>", f'<div class="sidebar"><p>{some(10, 40)}</p><ul>{links(4)}</ul></div>', f"<form><p>{some(5, 10)}</p><input></form>",
+            f'<script>var a = "<p>{some(9, 20)}</p>";</script>', "<style>p{margin:0}</style>", f"<!-- {some(5, 9)} -->",
+        ]
+        after = [f"<footer><p>{some(5, 20)}</p></footer>", f'<section id="comments"><p>{some(20, 60)}</p><p>{some(20, 60)}</p></section>', f'<div class="site-footer">{some(4, 9)}</div>', f'<ul class="social-share">{links(4)}</ul>']
+        yield "<html><head><title>t</title></head><body>" + "".join(rng.sample(noise, 4)) + body + "".join(rng.sample(after, 2)) + "</body></html>", "\n".join([title, *lines])
+
+
+def test_html_of_labelled_pages():
+    made = list(pages(random.Random(17), 300))
+    got = [html_text.main_text(page) for page, _ in made]
+    lines = [(set(g.split("\n")), set(t.split("\n"))) for g, (_, t) in zip(got, made)]
+    found, right = sum(len(g & t) for g, t in lines), sum(len(t) for _, t in lines)
+    assert found / right > 0.98 and found / sum(len(g) for g, _ in lines) > 0.98
+    assert sum(g == t for g, (_, t) in zip(got, made)) / len(made) > 0.9
+
+
+def test_html_names_attributes_and_depth():
+    long = "".join(f"<p>Paragraph {k}, of some length, with commas, and words enough to score well in this page.</p>" for k in range(5))
+    assert html_text.main_text(f"<body data-t=it's>{long}</body>").count("\n") == 4
+    assert html_text.main_text(f'<main><header><h1>Head</h1></header><div class="side-by-side"><p>Left, here.</p></div>{long}</main>').startswith("Head\nLeft, here.\n")
+    assert html_text.main_text("<p title=\"a > b\" data-x='<p>'>One, two</p><p title=\"open>Three</p>") == "One, two\nThree"
+    deep = "<div>" * 30_000 + "deep, text, here, for long enough a line" + "</div>" * 30_000
+    assert html_text.main_text(deep) == "deep, text, here, for long enough a line"
+
+
 def repeats(texts):
     seen = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
     out = []
@@ -453,7 +559,7 @@ def test_long_texts_come_in_pieces(monkeypatch):
     block = bytes(rng.randrange(256) for _ in range(900))
     text = block + bytes(rng.randrange(256) for _ in range(5000)) + block
     monkeypatch.setattr(suffix_dedup, "PIECE", 1 << 10)
-    place, token = (x.tolist() for x in suffix_dedup.anchors([text])[1:3])
+    place, token = (np.concatenate(x).tolist() for x in list(zip(*suffix_dedup.anchors([text])))[1:3])
     assert len(place) == len(set(place))
     assert all(any(s <= p <= s + suffix_dedup.LEFT for p in place) for s in range(len(text) - 199))
     at = collections.defaultdict(set)
@@ -463,6 +569,43 @@ def test_long_texts_come_in_pieces(monkeypatch):
     assert all(any(s <= p <= s + suffix_dedup.LEFT for p in shared) for s in range(len(block) - 199))
 
 
+def removed_by(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(df).collect()}
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 1 << 11])
+def test_periodic_stretches_equal_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    rng = random.Random(piece)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    texts = ["x" * 200, "x" * 199 + "y", "x" * 201, noise(300) + "x" * 5000 + noise(300), "ab" * 1500, "b" + "ab" * 100, noise(40) + "abc" * 900 + noise(40) + "ab" * 99 + "a"]
+    texts += ["q" * 199, "z" * 200, noise(50) + "y" * 400 + "x" * 400, "abcab" * 300 + "abcabcab" * 200, (noise(90) + "\n") * 40, noise(170) * 30, "é" * 500, noise(5000)]
+    for _ in range(40):
+        texts.append("".join(rng.choice(["x", "ab", "abc", "x" * 210, "ab" * 130, "abc" * 80, noise(30), noise(250)]) * rng.choice([1, 1, 2, 90]) for _ in range(rng.randrange(1, 8))))
+    data = [t.encode() for t in texts]
+    expected = {}
+    for k, (t, g) in enumerate(zip(data, repeats(data))):
+        spans = sum(1 for i in range(len(g)) if g[i] and (i == 0 or not g[i - 1]))
+        expected[k] = (sum(g), spans, hashlib.sha256(bytes(b for b, x in zip(t, g) if not x)).hexdigest())
+    assert removed_by(spark, texts) == expected
+
+
+def test_long_periodic_texts_have_few_anchors():
+    for t in (b"x" * 3_000_000, b"word " * 600_000, b"line of a table | 0 | 0 |\n" * 100_000):
+        got = [np.concatenate(x) for x in zip(*suffix_dedup.anchors([t]))]
+        assert len(got[0]) < 2000 and got[4].max() == len(t)
+
+
+def test_suffix_dedup_keeps_columns_of_any_name(spark):
+    text = "some words that stand twice " * 10
+    df = spark.createDataFrame([(1, text, "a", 5, [1], "k"), (2, text, "b", 6, [2], "k"), (3, "own", "c", 7, [3], "k")], "doc_id long, text string, _id string, _chk int, spans array<int>, id string")
+    got = {r.doc_id: r for r in suffix_dedup.removed(df).collect()}
+    assert suffix_dedup.removed(df).schema == df.schema
+    assert [tuple(got[k]) for k in (1, 3)] == [(1, "", "a", 5, [1], "k"), (3, "own", "c", 7, [3], "k")]
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.digests(df).collect()} == {1: len(text), 2: len(text), 3: 0}
+
+
 def check_packing(out, lengths, sizes):
     assert sorted(x for x in out.groupby("doc_id")["n_tokens"].sum()) == sorted(sizes)
     for (_, _), part in out.groupby(["pack_group", "bin"]):
@@ -487,6 +630,82 @@ def test_best_fit_takes_the_tightest_bin():
     assert where == [0, 1, 0, 1, 1] and capacity == [1000, 1000]
 
 
+def plainly_best_fit(sizes, lengths, factor):
+    """Every open bin is looked at for every piece; of bins with equal room the one that got it last."""
+    bins, where = [], []  # room, when, used
+    for when, n in enumerate(sizes):
+        fits = [b for b in range(len(bins)) if bins[b][0] >= n]
+        if fits:
+            b = min(fits, key=lambda b: (bins[b][0], -bins[b][1]))
+            bins[b] = [bins[b][0] - n, when, bins[b][2] + n]
+        else:
+            b = len(bins)
+            able = [c for c in lengths if c >= n and c >= min(lengths[-1], factor * n)]
+            room = min(able, key=lambda c: packing.cost(c) / (c // n * n) if factor > 1 else packing.cost(c))
+            bins.append([room - n, when, n])
+        where.append(b)
+    return where, [min(c for c in lengths if c >= used) for _, _, used in bins]
+
+
+def test_best_fit_equals_a_plain_one():
+    rng = random.Random(21)
+    for lengths in ((512, 1024, 2048, 4096, 8192), (10, 16), (7,)):
+        for _ in range(15):
+            sizes = sorted((rng.choice([1, 2, lengths[0], rng.randrange(1, lengths[-1] + 1)]) for _ in range(rng.randrange(1, 150))), reverse=True)
+            plain = {f: plainly_best_fit(sizes, lengths, f) for f in packing.FACTORS}
+            for f in packing.FACTORS:
+                assert packing.best_fit(sizes, lengths, f)[:2] == plain[f]
+            cheapest = min(packing.FACTORS, key=lambda f: sum(map(packing.cost, plain[f][1])))
+            assert packing.packed_group(np.array(sizes), lengths) == plain[cheapest]
+
+
+def test_packing_deals_repeated_ids_evenly(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 100)
+    df = spark.createDataFrame([(1 if k % 3 else None, 1 + k % 700) for k in range(3000)], "doc_id long, n long").withColumn("pack_group", F.lit("clash"))
+    out = packing.pack(df, length=F.col("n")).toPandas()
+    assert out["n_tokens"].sum() == sum(1 + k % 700 for k in range(3000)) and len(out) == 3000
+    assert out.groupby("pack_group").size().max() < 200
+
+
+def weighted_windows(items, text):
+    """Items whose weighted shingles reach the threshold with some window of the item's length, by trying every window."""
+    cut = lambda t: decontam.plain(t).split()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in items if t and len(w := cut(t)) >= 5}
+    df = collections.Counter(x for s in sets.values() for x in s)
+    weight = lambda s: sum(1 / (1 + math.log(df[x])) if df[x] else 1.0 for x in s)
+    words, out = cut(text or ""), set()
+    for i, t in items:
+        if i in sets:
+            m = len(cut(t))
+            for s in range(max(1, len(words) - m + 1)):
+                w = words[s : s + m]
+                own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+                both = weight(own & sets[i])
+                if both and both / (weight(own) + weight(sets[i]) - both) >= 0.8:
+                    out.add(i)
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(33)
+    base = [prose(rng, rng.randrange(8, 70), 3000) for _ in range(14)]
+    items = list(enumerate(base + [base[0] + " more words", base[1], " ".join(base[2].split()[:30]), base[3] + " " + base[4]]))
+    texts = []
+    for k in range(70):
+        words = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            words[rng.randrange(len(words))] = rng.choice(["other", "new thing", ""])
+        text = " ".join(words)
+        texts.append(f"{prose(rng, rng.randrange(60), 3000)} {rng.choice([text, text.upper(), text.replace(' ', ', ')])} {prose(rng, rng.randrange(60), 3000)}")
+    texts += [texts[0], texts[0], None, "", prose(rng, 20_000, 3000) + " " + base[5]]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, hits string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: {h.item_id for h in r.hits} for r in decontam.scanned(docs, bench).collect()}
+    assert got == {k: weighted_windows(items, t) for k, t in enumerate(texts)}
+    kept = decontam.clean(docs, bench)
+    assert kept.schema == docs.schema and {(r.doc_id, r.hits) for r in kept.collect()} == {(k, "x") for k in got if not got[k]}
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(k, prose(rng, rng.randrange(5, 60), 5000)) for k in range(30)] + [(30, "tiny item"), (31, None), (32, " ")]
