@@ -14,7 +14,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(x: Column) -> Column:
-    return F.translate(x, UPPER, LOWER)
+    """Lower case in A-Z alone; values of ASCII only, which most are, take the quick way."""
+    return F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, UPPER, LOWER))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row."""
+    return F.transform(F.array(value), body)[0]
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -27,13 +33,15 @@ def contains_ignoring_case(x: Column, needle: str) -> Column:
 
 def suspicious_category(value: Column) -> Column:
     """First matching category, or null."""
-    low = ascii_lower(value)
-    test = {"prefix": low.startswith, "contains": low.contains, "suffix": low.endswith}
-    out = None
-    for name, (kind, needles) in rules.STRING_RULES:
-        hit = any_of([test[kind](n) for n in needles])
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+
+    def first(low: Column) -> Column:
+        test = {"prefix": low.startswith, "contains": low.contains, "suffix": low.endswith}
+        out = F.when(F.lit(False), "")
+        for name, (kind, needles) in rules.STRING_RULES:
+            out = out.when(any_of([test[kind](n) for n in needles]), name)
+        return out
+
+    return let(ascii_lower(value), first)
 
 
 def string_behavior(category: Column) -> tuple[Column, Column]:
@@ -77,17 +85,21 @@ def string_symbol(address: Column) -> Column:
 
 
 def recipe_signal(value: Column) -> Column:
-    """url_percent_encoding, hex, base64, escaped_hex or null, for the trimmed value."""
-    v = F.regexp_replace(value, r"^\s+|\s+$", "")
-    percent = F.regexp_count(v, F.lit("%(?=[0-9A-Fa-f]{2})")) >= 2
-    compact = F.regexp_replace(v, r"[ \t\n\f\r:\-_]", "")
-    is_hex = compact.rlike("^[0-9A-Fa-f]{16,}$") & (F.length(compact) % 2 == 0) & compact.rlike("[A-Fa-f]")
-    length = F.length(v)
-    plain = v.rlike("^[A-Za-z0-9+/]+={0,2}$")
-    url_safe = v.rlike("[-_]") & v.rlike("^[A-Za-z0-9_-]+={0,2}$")
-    is_base64 = (length >= 16) & (length % 4 == 0) & (plain | url_safe) & ~v.rlike("^[0-9A-Fa-f]+$")
-    escaped = F.regexp_count(v, F.lit(r"\\[xX][0-9A-Fa-f]{2}")) >= 2
-    return F.when(v == "", None).when(percent, "url_percent_encoding").when(is_hex, "hex").when(is_base64, "base64").when(escaped, "escaped_hex")
+    """url_percent_encoding, hex, base64, escaped_hex or null, for the trimmed value. Plain tests that every match passes go before
+    the patterns: most values are short words and meet none."""
+
+    def told(v: Column) -> Column:
+        length = F.length(v)
+        percent = v.contains("%") & (F.regexp_count(v, F.lit("%(?=[0-9A-Fa-f]{2})")) >= 2)
+        compact = F.regexp_replace(v, r"[ \t\n\f\r:\-_]", "")
+        is_hex = (length >= 16) & let(compact, lambda c: c.rlike("^[0-9A-Fa-f]{16,}$") & (F.length(c) % 2 == 0) & c.rlike("[A-Fa-f]"))
+        plain = v.rlike("^[A-Za-z0-9+/]+={0,2}$")
+        url_safe = v.rlike("[-_]") & v.rlike("^[A-Za-z0-9_-]+={0,2}$")
+        is_base64 = (length >= 16) & (length % 4 == 0) & (plain | url_safe) & ~v.rlike("^[0-9A-Fa-f]+$")
+        escaped = v.contains("\\") & (F.regexp_count(v, F.lit(r"\\[xX][0-9A-Fa-f]{2}")) >= 2)
+        return F.when(v == "", None).when(percent, "url_percent_encoding").when(is_hex, "hex").when(is_base64, "base64").when(escaped, "escaped_hex")
+
+    return let(F.regexp_replace(value, r"^\s+|\s+$", ""), told)
 
 
 def recipe_details(value: Column, signal: Column) -> tuple[Column, Column, Column]:
@@ -120,12 +132,12 @@ def deep_link(value: Column, recipe: Column) -> Column:
 
 
 def hex_tokens(text: Column) -> Column:
-    """The addresses that an operand text names, in order: 0x.., ..h, or bare digits of 64 bits at most."""
+    """The addresses that an operand text names, in order: 0x.. or ..h (one h), of 64 bits at most. Bare digits name none."""
     tokens = F.regexp_extract_all(text, F.lit("[0-9A-Fa-fxXhH]+"), F.lit(0))
 
     def value(t: Column) -> Column:
-        digits = F.when(t.rlike("^0[xX]"), F.substring(t, 3, 1 << 20)).otherwise(F.regexp_replace(t, "[hH]+$", ""))
-        return u64.parse_hex(F.when(F.length(t) >= 2, digits))
+        digits = F.when(t.rlike("^0[xX]"), F.substring(t, 3, 1 << 20)).when(t.rlike("[hH]$"), F.regexp_replace(t, "[hH]$", ""))
+        return u64.parse_hex(digits)
 
     return F.array_compact(F.transform(tokens, value))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrykit import rules
@@ -25,8 +25,10 @@ def api_insights(imports: DataFrame) -> DataFrame:
     return keyed.join(F.broadcast(api_rules(imports.sparkSession)), "fn_key").withColumn("severity_rank", X.severity_rank(F.col("severity")))
 
 
-def finding_order() -> list[Column]:
-    return [F.desc("severity_rank"), F.asc("category"), F.asc("detail")]
+def ranked(findings_: DataFrame) -> DataFrame:
+    """Findings with their place (from 1) in the order of reports: the most severe first, then by category and detail."""
+    w = Window.partitionBy("binary_id").orderBy(F.desc("severity_rank"), F.asc("category"), F.asc("detail"), F.asc("source"))
+    return findings_.withColumn("place", F.row_number().over(w).cast("long"))
 
 
 def findings(insights: DataFrame, suspicious: DataFrame, runtimes: DataFrame | None = None) -> DataFrame:

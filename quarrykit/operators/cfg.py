@@ -5,6 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrykit.functions import u64
+
+
+def with_targets(classed: DataFrame) -> DataFrame:
+    """``target`` of ARM rows, which decoders leave null, from the operands: the first 0x.. or 0h.., or all of them as a decimal."""
+    operands = F.trim(F.coalesce("operands", F.lit("")))
+    digits = F.regexp_extract(operands, "0[xXh]([0-9A-Fa-f]+)", 1)
+    named = F.when(digits != "", u64.parse_hex(digits)).otherwise(F.when(operands.rlike(r"^\+?[0-9]{1,18}$"), operands.try_cast("bigint")))
+    return classed.withColumn("target", F.when(F.col("isa") == "x86", F.col("target")).otherwise(F.coalesce("target", named)))
+
 
 def _targets(classed: DataFrame) -> DataFrame:
     return classed.where("is_control_flow and target is not null").select("binary_id", F.col("target").alias("address")).distinct()
@@ -12,6 +22,7 @@ def _targets(classed: DataFrame) -> DataFrame:
 
 def leaders(classed: DataFrame) -> DataFrame:
     """Instructions with ``is_leader``: the first, those after control flow, and every named target."""
+    classed = with_targets(classed)
     w = Window.partitionBy("binary_id").orderBy("seq")
     hit = _targets(classed).withColumn("_target", F.lit(True))
     marked = classed.join(hit, ["binary_id", "address"], "left")

@@ -20,7 +20,7 @@ def classes(rows: DataFrame) -> DataFrame:
     base = F.substring_index(m, ".", 1)
     x86 = F.col("isa") == "x86"
     cc = "|".join(rules.ARM_CONDITIONS.split())
-    arm_cond = m.rlike(rf"^b\.?({cc})$") | m.isin("b.al") | base.isin("cbz", "cbnz", "tbz", "tbnz")
+    arm_cond = m.rlike(rf"(?s)^b(\..+|{cc})$") | m.isin("cbz", "cbnz", "tbz", "tbnz")
     arm_uncond = m.isin("b", "bx", "bxj", "br", "braa", "brab")
     arm_call = base.isin("bl", "blx", "blr", "blraa", "blrab")
     arm_ret = base.isin("ret", "eret")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as X
+from quarrykit.functions import u64
 
 
 def scan_ascii(sections: DataFrame, min_length: int = 4, max_length: int = 1024) -> DataFrame:
@@ -19,7 +20,8 @@ def scan_ascii(sections: DataFrame, min_length: int = 4, max_length: int = 1024)
     w = Window.partitionBy("binary_id", "section_ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.length("seg") + 1).over(w) - 1).withColumn("value", F.regexp_extract("seg", r"[\x20-\x7E]*\z", 0))
     size = F.length("value")
-    return rows.where((size >= min_length) & (size <= max_length)).select("binary_id", "section_ord", (F.col("virtual_address") + F.col("end") - size).alias("address"), "value", F.lit("Ascii").alias("encoding"), size.cast("long").alias("length"))
+    address = u64.wrapping_add(F.col("virtual_address"), (F.col("end") - size).cast("bigint"))
+    return rows.where((size >= min_length) & (size <= max_length)).select("binary_id", "section_ord", address.alias("address"), "value", F.lit("Ascii").alias("encoding"), size.cast("long").alias("length"))
 
 
 def scan_utf16(sections: DataFrame, min_length: int = 4, max_length: int = 1024) -> DataFrame:
@@ -40,7 +42,7 @@ def scan_utf16(sections: DataFrame, min_length: int = 4, max_length: int = 1024)
         return pd.Series(out)
 
     rows = sections.where("is_data").select("binary_id", "section_ord", "virtual_address", F.explode(found("raw")).alias("s"))
-    return rows.select("binary_id", "section_ord", (F.col("virtual_address") + F.col("s.offset")).alias("address"), F.col("s.value").alias("value"), F.lit("Utf16Le").alias("encoding"), F.length("s.value").cast("long").alias("length"))
+    return rows.select("binary_id", "section_ord", u64.wrapping_add(F.col("virtual_address"), F.col("s.offset")).alias("address"), F.col("s.value").alias("value"), F.lit("Utf16Le").alias("encoding"), F.length("s.value").cast("long").alias("length"))
 
 
 def dedupe(strings: DataFrame) -> DataFrame:
@@ -53,14 +55,20 @@ def extract(sections: DataFrame, min_length: int = 4, max_length: int = 1024, in
     return dedupe(scan_ascii(sections, min_length, max_length).unionByName(scan_utf16(sections, min_length, max_length)))
 
 
+def _told(strings: DataFrame, name: str, value: Column) -> DataFrame:
+    """Rows for which ``value`` isn't null. It passes through a generator, below which no filter is pushed: it is evaluated once."""
+    kept = [c for c in strings.columns if c != name]
+    return strings.select(*kept, F.explode(F.array(value)).alias(name)).where(F.col(name).isNotNull())
+
+
 def suspicious(strings: DataFrame) -> DataFrame:
-    out = strings.withColumn("category", X.suspicious_category(F.col("value"))).where("category is not null")
+    out = _told(strings, "category", X.suspicious_category(F.col("value")))
     return out.withColumn("symbol", X.string_symbol(F.col("address")))
 
 
 def recipes(strings: DataFrame) -> DataFrame:
     """Strings that look encoded, with how to decode them."""
-    told = strings.withColumn("signal", X.recipe_signal(F.col("value"))).where("signal is not null")
+    told = _told(strings, "signal", X.recipe_signal(F.col("value")))
     confidence, reason, recipe = X.recipe_details(F.col("value"), F.col("signal"))
     told = told.withColumns({"symbol": X.string_symbol(F.col("address")), "confidence": confidence, "reason": reason, "recipe": recipe})
     return told.withColumn("deep_link", X.deep_link(F.col("value"), F.col("recipe")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.functions import text as X
@@ -43,7 +43,8 @@ def string_refs(in_functions: DataFrame, strings: DataFrame) -> DataFrame:
     whole = F.concat_ws(" ", "mnemonic", "operands")
     rows = in_functions.select("binary_id", "function_address", F.col("address").alias("site"), F.posexplode(X.hex_tokens(whole)).alias("pos", "string_address"))
     rows = rows.groupBy("binary_id", "function_address", "site", "string_address").agg(F.min("pos").alias("pos"))
-    known = strings.select("binary_id", F.col("address").alias("string_address"), "value").dropDuplicates(["binary_id", "string_address"])
+    # of strings at one address (an ASCII and a UTF-16 one, say) the least counts
+    known = strings.groupBy("binary_id", F.col("address").alias("string_address")).agg(F.min("value").alias("value"))
     return rows.join(known, ["binary_id", "string_address"]).withColumn("symbol", X.string_symbol(F.col("string_address")))
 
 
@@ -51,11 +52,17 @@ def strings_by_function(refs: DataFrame) -> DataFrame:
     return refs.groupBy("binary_id", "function_address").agg(F.sort_array(F.collect_set("symbol")).alias("symbols"), F.count("*").alias("n_refs"))
 
 
+def _in_order() -> Column:
+    """Callers by function and site, as unsigned addresses."""
+    keyed = F.struct(u64.order_key(F.col("function_address")).alias("f"), u64.order_key(F.col("site")).alias("s"), "function_address", "site")
+    return F.transform(F.sort_array(F.collect_list(keyed)), lambda x: F.struct(x["function_address"].alias("function_address"), x["site"].alias("site")))
+
+
 def import_callers(calls_: DataFrame) -> DataFrame:
     """Callers of each import by lower-cased library and symbol, ordered by function and site."""
     lib, fn = F.substring_index("target_name", "!", 1), F.substring_index("target_name", "!", -1)
     rows = calls_.where("target_kind = 'import'").select("binary_id", X.ascii_lower(lib).alias("lib_key"), X.ascii_lower(fn).alias("fn_key"), "function_address", "site")
-    return rows.groupBy("binary_id", "lib_key", "fn_key").agg(F.sort_array(F.collect_list(F.struct("function_address", "site"))).alias("callers"))
+    return rows.groupBy("binary_id", "lib_key", "fn_key").agg(_in_order().alias("callers"))
 
 
 def import_xrefs(imports: DataFrame, callers: DataFrame, insights: DataFrame) -> DataFrame:
@@ -68,22 +75,29 @@ def import_xrefs(imports: DataFrame, callers: DataFrame, insights: DataFrame) ->
 
 def function_xrefs(functions: DataFrame, calls_: DataFrame, refs: DataFrame) -> DataFrame:
     """Functions with who calls them and their strings."""
-    by = calls_.groupBy("binary_id", F.col("target_address").alias("address")).agg(F.sort_array(F.collect_list(F.struct("function_address", "site"))).alias("called_by"))
+    by = calls_.groupBy("binary_id", F.col("target_address").alias("address")).agg(_in_order().alias("called_by"))
     has = strings_by_function(refs).select("binary_id", F.col("function_address").alias("address"), "symbols")
     out = functions.join(by, ["binary_id", "address"], "left").join(has, ["binary_id", "address"], "left")
     return out.withColumns({"called_by": F.coalesce("called_by", F.array().cast("array<struct<function_address:bigint,site:bigint>>")), "symbols": F.coalesce("symbols", F.array().cast("array<string>"))})
 
 
-def section_of(addresses: DataFrame, sections: DataFrame, bits: int = 12) -> DataFrame:
-    """The first section that holds each address (va <= address < va + max(size, 1)): a range join as an equi-join on
-    address blocks of 2**bits, so it never is a cross join; ``section_ord`` breaks ties."""
-    end = F.col("virtual_address") + F.greatest(F.col("size"), F.lit(1)) - 1
-    spread = sections.select("binary_id", "section_ord", "name", "virtual_address", "size", F.explode(F.sequence(F.shiftright("virtual_address", bits), F.shiftright(end, bits))).alias("_block"))
-    rows = addresses.withColumn("_block", F.shiftright("address", bits))
-    hit = rows.join(spread, ["binary_id", "_block"]).where((F.col("address") >= F.col("virtual_address")) & (F.col("address") < F.col("virtual_address") + F.greatest(F.col("size"), F.lit(1))))
+#: Block sizes of the range join, as bits; a section is put on the first level where it covers 17 blocks at most.
+LEVELS = tuple(range(12, 64, 4))
+
+
+def section_of(addresses: DataFrame, sections: DataFrame) -> DataFrame:
+    """The first section that holds each address (va <= address < va + max(size, 1), unsigned; what would pass the end of the
+    address space ends there): a range join as an equi-join on address blocks. The size of blocks follows the size of a section, so a section
+    of any size is a few rows, an address is one row a level, and it never is a cross join; ``section_ord`` breaks ties."""
+    va, key = F.col("virtual_address"), u64.order_key
+    last = F.when(F.col("size") >= 0, u64.wrapping_add(va, F.greatest(F.col("size"), F.lit(1)) - 1)).otherwise(F.lit(-1))
+    spans = sections.select("binary_id", "section_ord", "name", "virtual_address", "size", F.when(key(last) >= key(va), last).otherwise(F.lit(-1)).alias("_last"))
+    level = F.lit(LEVELS[-1])
+    for bits in reversed(LEVELS[:-1]):
+        level = F.when((F.col("size") >= 0) & (F.shiftrightunsigned("size", bits) < 16), bits).otherwise(level)
+    spans = spans.withColumn("_level", level)
+    block = lambda at: F.expr(f"shiftrightunsigned({at}, _level)")
+    spans = spans.withColumn("_block", F.explode(F.sequence(block("virtual_address"), block("_last"))))
+    rows = addresses.withColumn("_level", F.explode(F.array(*map(F.lit, LEVELS)))).withColumn("_block", block("address"))
+    hit = rows.join(spans, ["binary_id", "_level", "_block"]).where((key(F.col("address")) >= key(va)) & (key(F.col("address")) <= key(F.col("_last"))))
     return hit.groupBy("binary_id", "address").agg(F.min_by("name", "section_ord").alias("section"))
-
-
-def name_map(functions: DataFrame) -> DataFrame:
-    w = Window.partitionBy("binary_id", "address").orderBy(F.desc("name"))
-    return functions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

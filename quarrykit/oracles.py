@@ -81,7 +81,7 @@ fun as (select binary_id, f address, 'sub_' || to_hex(f) as name, sum(length)::b
 calls as (select m.binary_id, m.f function_address, m.address site, m.target target_address, 'function' target_kind, fun.name target_name from mem m left join fun on fun.binary_id = m.binary_id and fun.address = m.target where m.is_call and m.target is not null)
 """
 LINE = """
-op as (select l_orderkey, l_linenumber, l_linenumber % 4 kind, l_partkey * 4096 + l_suppkey x, l_orderkey * 16 a from lineitem)
+op as (select l_orderkey, l_linenumber, l_linenumber % 7 kind, l_partkey * 4096 + l_suppkey x, l_orderkey * 16 a from lineitem)
 """
 
 ORACLES = {
@@ -95,7 +95,7 @@ ORACLES = {
     "risk_score": f"""with {FINDINGS}, c as (select binary_id, category, max(r) r, count(*) filter (source = 'string') s from fr group by 1, 2),
  b as (select binary_id, least(sum(case r when 3 then 35 when 2 then 8 else 2 end) + 2 * least(sum(s), 4), case when max(r) = 3 then 100 else 69 end) score from c group by 1)
  select binary_id, score::int score, case when score >= 70 then 'high' when score >= 25 then 'medium' when score >= 1 then 'low' else 'none' end as level from b""",
-    "hex_refs": f"""with {LINE} select l_orderkey, l_linenumber, unnest(case kind when 0 then [0] when 1 then [0] else [0] end)::int pos, x as value from op""",
+    "hex_refs": f"""with {LINE} select l_orderkey, l_linenumber, 0::int pos, x as value from op where kind < 4""",
     "memory_targets": f"with {LINE} select l_orderkey, l_linenumber, case kind when 0 then x when 1 then a + 6 + x when 2 then a + 6 - x end target from op",
     "instr_classes": f"with {INSTR} select m mnemonic, count(*) filter (is_call) is_call, count(*) filter (is_ret) is_return, count(*) filter (is_cond) is_conditional, 0::bigint is_unconditional, count(*) filter (is_cf) is_control_flow from ins group by 1",
     "cfg_leaders": f"with {INSTR} select binary_id, seq, address from lead where is_leader",
@@ -123,8 +123,9 @@ ORACLES = {
  select f.binary_id, count(*) function_count, sum(size)::bigint code_bytes, coalesce(any_value(c.n), 0) call_count, any_value(b.n) block_count from fun f left join c on c.binary_id = f.binary_id left join b on b.binary_id = f.binary_id group by 1""",
     "register_map": "select * from (values " + _values((p, w) for w, ps in rules.REGISTERS.items() for p in ps.split()) + ") t(part, whole)",
     "c_escape": r"""select page_id, '"' || url || '"' quoted, '"\303\251\"\\\n\t' || page_id || '"' odd from pages""",
-    "identifier_sanitize": r"""select p_partkey, case when regexp_matches(b, '^[0-9]') then 'sym_' || b else b end as name, regexp_replace(p_type, '[^A-Za-z0-9_.-]', '_', 'g') stem
- from (select *, regexp_replace(regexp_replace(p_name[1:40] || '!' || p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_$', '') b from part)""",
+    "identifier_sanitize": rf"""select p_partkey, case when regexp_matches(b, '^[0-9]') then 'sym_' || b else b end as name, regexp_replace(p_type, '[^A-Za-z0-9_.-]', '_', 'g') stem,
+  case when starts_with(k, '_') then 'sym_' || ltrim(k, '_') || '_' else k || '_' end keyword
+ from (select *, regexp_replace(regexp_replace(p_name || '!' || p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_$', '') b, ([{", ".join(map(_quoted, rules.C_KEYWORDS.split()))}])[p_partkey % {len(rules.C_KEYWORDS.split())} + 1] k from part)""",
     "thunks": f"""with {INSTR.replace("else 'ret' end m,", "else 'ret' end m0,").replace("::bigint k from events),", "::bigint k from events), ev1 as (select *, case when m0 = 'call' and seq % 2 = 0 then 'jmp' else m0 end m from ev),", 1).replace("from ev a left join ev b", "from ev1 a left join ev1 b").replace("case when a.m in ('jne', 'call')", "case when a.m0 in ('jne', 'call')").replace("a.m in ('call', 'ret', 'jne') is_cf", "true is_cf").replace("select distinct binary_id, target address from ins where is_call and target is not null", "select distinct binary_id, target address from (select *, lead(address) over (partition by binary_id order by seq) na from ins) where target is not null and (is_call or (m = 'jmp' and target = na and na <> address + length))")}
  select binary_id, kind, count(*) n from (select binary_id, f, case when count(*) = 1 and bool_and(m = 'jmp') then 'tailcall_thunk' else 'normal' end kind from mem group by 1, 2) group by 1, 2""",
     "code_patterns": f"""with {INSTR}, ops as (select *, case m when 'call' then case when seq % 2 = 0 then 'call malloc' else 'call free' end when 'mov' then case k % 4 when 0 then 'mov rax,rcx' when 1 then 'mov ecx,5' when 2 then 'mov [rbp-8],rdx' else 'mov r8,[rcx]' end when 'cmp' then case when k % 4 < 2 then 'cmp rdx,0' else 'cmp eax,r9d' end else m end t from mem),

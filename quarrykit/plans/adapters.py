@@ -17,6 +17,7 @@ ENCODED = (
     "SGVsbG8sIHdvcmxkIQ==", "4D5A90000300000004000000FFFF0000", "https%3A%2F%2Fevil.test%2Fpayload", "H4sIAAAAAAAAAPNIzcnJBwCCidH3BQAAAA==", "eJzLSM3JyQcABiwCFQ==",
     "\\x48\\x65\\x6c\\x6c\\x6f", "kernel32.dll", "powershell -nop", "cmd.exe /c dir", "my_password=1", "HKLM\\Software\\Run", "CreateFileW", "  4d:5a:90:00:03:00:00:00:ff  ", "aGVsbG8td29ybGRfXw==",
 )
+RUNTIME_LIBRARIES = ("python311.dll", "mscoree.dll", "node.dll", "jvm.dll", "kernel32.dll")
 RUNTIME_PROBES = ("PYZ-00.pyz", "_MEIPASS2", "Go build ID: x", "runtime.main", "java/lang/Object", "core::panicking::panic", "dart:ui", "BSJB v4", "#~", "app.asar", "Py_Initialize")
 
 

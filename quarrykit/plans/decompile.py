@@ -1,6 +1,6 @@
 """Instruction rows to C text, a function at a time.
 
-The only part that trees need Python for: functions come as groups (one shuffle by binary and function), with the
+The only part that trees need Python for: functions come in order (one shuffle by binary and function), with the
 block of each instruction and each block's successors as columns from the native graph operators. Expressions and
 statements are tuples; every statement keeps the address it came from.
 """
@@ -8,8 +8,9 @@ statements are tuples; every statement keeps the address it came from.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -336,6 +337,23 @@ def function_text(name: str, rows: list[dict], parameters: list[str], strings: d
 # --- Spark -----------------------------------------------------------------------------------------------------------
 
 
+def import_declarations(imports: DataFrame) -> DataFrame:
+    """``imports`` (binary_id, function, address, ord and others) with ``c_name``, unique in a binary, in the order of ``ord``."""
+    kinds = ", ".join(f"`{name}` {kind}" for name, kind in imports.dtypes) + ", c_name string"
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken = None, set()
+        for b in batches:
+            names = []
+            for binary, function, address in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("binary_id", "function", "address"))):
+                if binary != now:
+                    now, taken = binary, set()
+                names.append(unique(identifier(function or "", f"import_{(address or 0) & (1 << 64) - 1:X}"), taken))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string())], names=[*b.schema.names, "c_name"])
+
+    return imports.repartition("binary_id").sortWithinPartitions("binary_id", "ord").mapInArrow(named, kinds)
+
+
 def decompiled(in_functions: DataFrame, functions: DataFrame, calls: DataFrame, parameters: DataFrame, string_refs: DataFrame | None = None, level: str = "basic", structured: bool = False) -> DataFrame:
     """``binary_id, address, name, prototype, c_text``. ``in_functions``: members of functions, classified."""
     flags = ("is_call", "is_return", "is_conditional", "is_unconditional", "is_control_flow")
@@ -353,16 +371,32 @@ def decompiled(in_functions: DataFrame, functions: DataFrame, calls: DataFrame,
         refs = string_refs.groupBy("binary_id", "function_address").agg(F.collect_set(F.struct(F.col("string_address").alias("a"), F.col("symbol").alias("s"))).alias("strings"))
         rows = rows.join(refs, ["binary_id", "function_address"], "left")
 
-    def text(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        first = group.iloc[0]
-        known = {int(x["a"]): x["s"] for x in (first["strings"] if first["strings"] is not None else [])}
+    def text(body: list[dict]) -> dict:
+        first = body[0]
+        known = {x["a"]: x["s"] for x in first["strings"] or []}
         given = [p for p in (first["parameters"] or "").split(",") if p]
-        body = group.astype(object).where(group.notna(), None).to_dict("records")
         for r in body:
             r["structured"] = structured
         c = function_text(first["name"], body, given, known, level)
-        return pd.DataFrame({"binary_id": [first["binary_id"]], "address": [first["function_address"]], "name": [first["name"]], "prototype": [c.split(" {", 1)[0] + ";"], "c_text": [c]})
+        return {"binary_id": first["binary_id"], "address": first["function_address"], "name": first["name"], "prototype": c.split(" {", 1)[0] + ";", "c_text": c}
 
     kind = dict(in_functions.dtypes)["binary_id"]
-    return rows.groupBy("binary_id", "function_address").applyInPandas(text, f"binary_id {kind}, address long, name string, prototype string, c_text string")
+    shape = f"binary_id {kind}, address long, name string, prototype string, c_text string"
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a partition by function and place: many functions a batch, one held at a time."""
+        held: list[dict] = []
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if held and (r["binary_id"], r["function_address"]) != (held[0]["binary_id"], held[0]["function_address"]):
+                    out.append(text(held))
+                    held = []
+                held.append(r)
+            if out:
+                yield pa.RecordBatch.from_pylist(out)
+        if held:
+            yield pa.RecordBatch.from_pylist([text(held)])
+
+    key = ["binary_id", "function_address"]
+    return rows.repartition(*key).sortWithinPartitions(*key, "seq").mapInArrow(texts, shape)

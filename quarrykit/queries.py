@@ -9,6 +9,7 @@ from quarrykit.functions import text as X
 from quarrykit.operators import behavior, cfg, inference, instructions, runtime, strings, xrefs
 from quarrykit.plans import adapters as A
 from quarrykit.plans import decompile
+from quarrykit.plans.shared import written
 
 
 def _classed(s, d):
@@ -67,10 +68,13 @@ def risk_score(s, d):
 
 
 def _operand_rows(s, d):
+    """Operands that name an address in each way, and some that name none: bare digits, a doubled h, words of hex digits."""
     line = A.table(s, d, "lineitem")
-    kind = F.col("l_linenumber") % 4
     at = F.hex(F.col("l_partkey") * 4096 + F.col("l_suppkey"))
-    text = F.when(kind == 0, F.concat(F.lit("qword ptr ["), at, F.lit("h]"))).when(kind == 1, F.concat(F.lit("rax,[rip+"), at, F.lit("h]"))).when(kind == 2, F.concat(F.lit("rcx,[rip-"), at, F.lit("h]"))).otherwise(F.concat(F.lit("rax,0x"), at))
+    forms = {0: ("qword ptr [", "h]"), 1: ("rax,[rip+", "h]"), 2: ("rcx,[rip-", "h]"), 3: ("rax,0x", ""), 4: ("add,dec,", ""), 5: ("rcx,[", "hh]"), 6: ("rdx,[rbx+", "]")}
+    text = F.lit(None).cast("string")
+    for kind, (before, after) in forms.items():
+        text = F.when(F.col("l_linenumber") % 7 == kind, F.concat(F.lit(before), at, F.lit(after))).otherwise(text)
     return line.select("l_orderkey", "l_linenumber", text.alias("operands"), (F.col("l_orderkey") * 16).alias("address"), F.lit(6).alias("length"))
 
 
@@ -176,7 +180,9 @@ def condition_ops(s, d):
 
 
 def identifier_sanitize(s, d):
-    return A.table(s, d, "part").select("p_partkey", X.identifier(F.concat(F.substring("p_name", 1, 40), F.lit("!"), F.col("p_brand")), "sym").alias("name"), X.file_stem(F.col("p_type")).alias("stem"))
+    words = rules.C_KEYWORDS.split()
+    keyword = F.get(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words)).cast("int"))
+    return A.table(s, d, "part").select("p_partkey", X.identifier(F.concat("p_name", F.lit("!"), F.col("p_brand")), "sym").alias("name"), X.file_stem(F.col("p_type")).alias("stem"), X.identifier(keyword, "sym").alias("keyword"))
 
 
 def c_escape(s, d):
@@ -196,10 +202,10 @@ def register_map(s, d):
 
 
 def package_summary(s, d):
-    m = _members(s, d)
+    m = written(_members(s, d), "members")
     f = instructions.functions(m)
     per = f.groupBy("binary_id").agg(F.count("*").alias("function_count"), F.sum("size").alias("code_bytes"))
-    c = _calls(s, d).groupBy("binary_id").agg(F.count("*").alias("call_count"))
+    c = xrefs.calls(m, _no_imports(s), f).groupBy("binary_id").agg(F.count("*").alias("call_count"))
     b = cfg.blocks(_classed(s, d)).groupBy("binary_id").agg(F.count("*").alias("block_count"))
     return per.join(c, "binary_id", "left").join(b, "binary_id", "left").select("binary_id", "function_count", "code_bytes", F.coalesce("call_count", F.lit(0)).alias("call_count"), "block_count")
 
@@ -213,7 +219,7 @@ QUERIES = {f.__name__: f for f in NAMES}
 
 
 def decompile_functions(s, d):
-    m = _members(s, d)
+    m = written(_members(s, d), "members")  # read by every branch of the plan
     f = instructions.functions(m)
     out = decompile.decompiled(m, f, xrefs.calls(m, _no_imports(s), f), instructions.parameters(m, "PE/EXE"))
     return out.select("binary_id", "address", "name", "prototype", "c_text")

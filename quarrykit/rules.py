@@ -96,7 +96,8 @@ LINK_BASE = "https://gchq.github.io/CyberChef/#recipe="
 
 C_KEYWORDS = (
     "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static"
-    " struct switch typedef union unsigned void volatile while _Bool _Complex _Imaginary _Alignas _Alignof _Atomic _Generic _Noreturn _Static_assert _Thread_local"
+    " struct switch typedef union unsigned void volatile while _Alignas _Alignof _Atomic _Bool _Complex _Generic _Imaginary _Noreturn _Static_assert _Thread_local"
+    " alignas alignof bool false nullptr static_assert thread_local true typeof typeof_unqual NULL"
 )
 # 64-bit name of a general register -> its parts
 REGISTERS = {
@@ -112,7 +113,6 @@ PE_DIRECTORIES = (
     "export_table import_table resource_table exception_table certificate_table base_relocation_table debug_table architecture global_ptr tls_table load_config_table bound_import_table"
     " import_address_table delay_import_descriptor clr_runtime_header"
 )
-PYTHON_MARKERS = (("PYZ-00.pyz", "PyInstaller PYZ archive"), ("_MEIPASS", "PyInstaller extraction marker"), ("pyi_rth", "PyInstaller runtime hook"), ("__nuitka", "Nuitka marker"), ("Py_Initialize", "CPython embedding API"))
 
 # Runtime reports: family, summary, what its artifacts are (evidence with a detail, or none), actions (label, detail)
 RUNTIME_REPORTS = (
