@@ -110,7 +110,7 @@ ORACLES = {
     "call_graph": f"with {INSTR} select binary_id, function_address, target_address, count(*) n_calls, string_agg(site::varchar, ',' order by site) call_sites, arg_min(target_name, site) target_name from calls group by 1, 2, 3",
     "call_graph_lineitem": "select l_suppkey function_address, l_partkey target_address, count(*) n_calls, md5(string_agg((l_orderkey * 8 + l_linenumber)::varchar, ',' order by l_orderkey * 8 + l_linenumber)) sites_md5 from lineitem group by 1, 2",
     "function_xrefs": f"with {INSTR} select fun.binary_id, fun.address, fun.name, count(c.site) n_callers, coalesce(string_agg(c.site::varchar, ',' order by c.function_address, c.site), '') sites from fun left join calls c on c.binary_id = fun.binary_id and c.target_address = fun.address group by 1, 2, 3",
-    "import_xrefs": f"""with {IMPORTS}, c as (select binary_id, {_lower("library")} lk, {_lower("fn")} fk, count(*) n from a_imports join lineitem on l_partkey = ord and l_linenumber = 1 group by 1, 2, 3)
+    "import_xrefs": f"""with {IMPORTS}, c as (select binary_id, {_lower("library")} lk, {_lower("fn")} fk, count(*) n from a_imports join lineitem on l_partkey = ord group by 1, 2, 3)
  select i.binary_id, i.library, i.fn as function, i.address, api.category, api.severity, coalesce(c.n, 0)::bigint n_callers from a_imports i left join api on api.k = {_lower("i.fn")} left join c on c.binary_id = i.binary_id and c.lk = {_lower("i.library")} and c.fk = {_lower("i.fn")}""",
     "section_lookup": f"""with spots as (select distinct user_id * {P} + event_id % 4000 a from events), s as (select doc_id, doc_id * {P} va, greatest(strlen(text), 1) n from documents)
  select a address, arg_min('s' || doc_id, doc_id) as section from spots join s on a >= va and a < va + n group by 1""",
