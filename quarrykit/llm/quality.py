@@ -250,5 +250,5 @@ f as (select *, case when n_words < 50 then 1 else 0 end + case when 100 * n_rep
       + case when 10 * n_symbols > n_words then 16 else 0 end + case when 100 * n_dup_lines > 30 * n_lines then 32 else 0 end
       + case when 100 * a < 80 * n_words then 64 else 0 end + case when 100 * e > 30 * n_lines then 128 else 0 end
       + case when 100 * b > 90 * n_lines then 256 else 0 end failure_bits from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 base_failed, failure_bits = 0 kept, failure_bits::bigint failure_bits from f
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failure_bits & 3 <> 0 base_failed, failure_bits & ~4 = 0 kept, failure_bits::bigint failure_bits from f
 """
