@@ -78,17 +78,12 @@ class Classes:
         return out
 
 
-def _gathered(rows: np.ndarray, at: np.ndarray, scratch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places that occur, and the sums of ``rows`` at each. ``scratch`` has a cell a place, with anything in it."""
-    every = np.arange(len(at), dtype=scratch.dtype)
-    scratch[at] = every
-    last = scratch.take(at)  # of each place the last row that names it
-    own = last == every
-    at, to = at[own], (np.cumsum(own) - 1).take(last)
-    out = np.empty((rows.shape[1], len(at)), dtype=np.float32)
-    for k, column in enumerate(rows.T.astype(np.float64)):
-        out[k] = np.bincount(to, weights=column, minlength=len(at))
-    return at, np.ascontiguousarray(out.T)
+def _summed(rows: np.ndarray, at: np.ndarray, places: int) -> np.ndarray:
+    """The sums of ``rows`` by place."""
+    width = rows.shape[1]
+    out = np.zeros(places * width, dtype=np.float32)
+    np.add.at(out, (at[:, None] * width + np.arange(width)).ravel(), rows.ravel())
+    return out.reshape(places, width)
 
 
 def _sure(score: np.ndarray) -> np.ndarray:
@@ -111,7 +106,6 @@ class Model:
     d: np.ndarray = field(default=None)
     t: np.ndarray = field(default=None)
     squares: dict = field(default=None)  # of gradients so far
-    scratch: np.ndarray = field(default=None)
 
     @staticmethod
     def fresh(units: np.ndarray, first: np.ndarray, slots: np.ndarray) -> Model:
@@ -132,19 +126,18 @@ class Model:
     def copy(self) -> Model:
         return Model(self.unigram, self.first, self.share, **{k: v.copy() for k, v in self.tables.items()})
 
-    def _step(self, name: str, rows: np.ndarray, at: np.ndarray, rate: float) -> None:
-        """AdaGrad by row; rows that a batch doesn't name have no gradient and stay."""
+    def _step(self, name: str, g: np.ndarray, rate: float) -> None:
+        """AdaGrad by row of a table; rows that a batch doesn't name have no gradient and stay."""
+        state = self.squares[name]
+        state += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+        g *= (np.float32(rate) / np.sqrt(state))[:, None]
         table = getattr(self, name)
-        at, g = _gathered(rows, at, self.scratch)
-        state = self.squares[name][at] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
-        self.squares[name][at] = state
-        table[at] = table.take(at, axis=0) + (np.float32(rate) / np.sqrt(state))[:, None] * g
+        table += g
 
     def train(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, rng: np.random.Generator, slow: float = 1.0) -> None:
         """One pass over (two units before, unit, slot or -1), in batches; the state of the steps goes on from call to call."""
         if self.squares is None:
             self.squares = {k: np.full(len(x), SQUARE) for k, x in self.tables.items()}
-            self.scratch = np.zeros(len(self.r), dtype=np.int32)
         self._train_units(u, v, unit, rng, slow)
         self._train_classes(u, v, unit, slot, slow)
 
@@ -165,9 +158,9 @@ class Model:
             _sure(dn)
             gp = (dp[:, None] * q - dn @ qk)[:, :DIM]
             scale = np.float32(len(w) ** -0.5)
-            self._step("q", np.concatenate([(dp * scale)[:, None] * p, dn.T @ (p * -scale)]), np.concatenate([w, k]), RATE * slow)
-            self._step("r", np.concatenate([gp * (self.c[0] * scale), gp * (self.c[1] * scale)]), np.concatenate([x, y]), RATE * slow)
-            self._step("c", np.stack([np.einsum("ij,ij->j", gp, rx), np.einsum("ij,ij->j", gp, ry)]) * scale, np.arange(2), RATE * slow)
+            self._step("q", _summed(np.concatenate([(dp * scale)[:, None] * p, dn.T @ (p * -scale)]), np.concatenate([w, k]), len(self.q)), RATE * slow)
+            self._step("r", _summed(np.concatenate([gp * (self.c[0] * scale), gp * (self.c[1] * scale)]), np.concatenate([x, y]), len(self.r)), RATE * slow)
+            self._step("c", np.stack([np.einsum("ij,ij->j", gp, rx), np.einsum("ij,ij->j", gp, ry)]) * scale, RATE * slow)
 
     def _train_classes(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, slow: float) -> None:
         """Words against the noise of their class, whose expectation is taken over all slots of the class."""
@@ -191,7 +184,7 @@ class Model:
                 g = sure.T @ p
                 state += np.einsum("ij,ij->i", g, g) / np.float32(DIM + 1)
                 t += (np.float32(CLASS_RATE * slow) / np.sqrt(state))[:, None] * g
-                self._step("d", np.stack([np.einsum("ij,ij->j", gp, rx), np.einsum("ij,ij->j", gp, ry)]) * np.float32(len(k) ** -0.5), np.arange(2), RATE * slow)
+                self._step("d", np.stack([np.einsum("ij,ij->j", gp, rx), np.einsum("ij,ij->j", gp, ry)]) * np.float32(len(k) ** -0.5), RATE * slow)
 
     def log_normalisers(self) -> np.ndarray:
         """log of the sum of exp(s) over units for every context (u, v). exp(s) is a product of a factor of (u, w) and one of
@@ -211,19 +204,26 @@ class Model:
     def log_p(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, normal: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of units, and of slots where they are not negative."""
         out = np.empty(len(unit), dtype=np.float64)
+        first, second = self.c[0] * self.r, self.c[1] * self.r
         for s in range(0, len(unit), 1 << 16):
             x, y, w = (a[s : s + (1 << 16)] for a in (u, v, unit))
-            q = self.q[w]
-            out[s : s + (1 << 16)] = np.einsum("ij,ij->i", self.c[0] * self.r[x] + self.c[1] * self.r[y], q[:, :DIM]) + q[:, DIM] - normal[x, y]
+            q = self.q.take(w, axis=0)
+            p = first.take(x, axis=0)
+            p += second.take(y, axis=0)
+            out[s : s + (1 << 16)] = np.einsum("ij,ij->i", p, q[:, :DIM]) + q[:, DIM] - normal[x, y]
+        first, second = self.d[0] * self.r, self.d[1] * self.r
         for every, a, b in self._classes(unit, slot):
             t = self.t[a:b]
             step = max(1, CELLS // (b - a))
             for s in range(0, len(every), step):
                 at = every[s : s + step]
-                p = self.d[0] * self.r[u[at]] + self.d[1] * self.r[v[at]]
-                scores = p @ t[:, :DIM].T + t[:, DIM]
-                top = scores.max(axis=1)
-                out[at] += scores[np.arange(len(at)), slot[at] - a] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+                p = first.take(u[at], axis=0)
+                p += second.take(v[at], axis=0)
+                scores = p @ t[:, :DIM].T
+                scores += t[:, DIM]
+                scores -= scores.max(axis=1)[:, None]
+                own = scores[np.arange(len(at)), slot[at] - a]
+                out[at] += own - np.log(np.exp(scores, out=scores).sum(axis=1))
         return out
 
     def _classes(self, unit: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:

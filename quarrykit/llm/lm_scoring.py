@@ -25,6 +25,7 @@ import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,7 +101,8 @@ class Dictionary:
         self.count[: self.heads] = counts[: self.heads]
         self.count[self.units + slot] = counts[self.heads :]
         self.count[self.end] = ends
-        self.kind_of_slot = np.repeat(np.arange(self.classes.n), np.diff(self.first))
+        self.unit_of = np.concatenate([np.arange(self.units), self.heads + np.repeat(np.arange(self.classes.n), np.diff(self.first))])
+        self.slot_of = np.concatenate([np.full(self.units, -1), np.arange(self.first[-1])])
 
     def rests(self, tokens: np.ndarray, words: np.ndarray) -> None:
         """Takes the tokens and the words of each class beyond the dictionary."""
@@ -122,7 +124,7 @@ class Dictionary:
             words.append(b"")
             first.append(len(words))
         get = self.id.get
-        ids = np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
+        ids = np.fromiter(map(get, words, repeat(-1)), dtype=np.int32, count=len(words))
         first = np.array(first)
         ids[first[1:] - 1] = self.end
         left = np.flatnonzero(ids < 0)
@@ -136,12 +138,7 @@ class Dictionary:
 
     def targets(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(unit, slot or -1) of each number."""
-        slot = ids.astype(np.int64) - self.units
-        unit = ids.astype(np.int64)
-        tail = slot >= 0
-        unit[tail] = self.heads + self.kind_of_slot[slot[tail]]
-        slot[~tail] = -1
-        return unit, slot
+        return self.unit_of.take(ids), self.slot_of.take(ids)
 
 
 def _contexts(units: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
