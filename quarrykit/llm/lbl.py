@@ -69,29 +69,27 @@ class Classes:
         self.n = int(self.base[-1] + self.parts[-1])
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        e = np.fromiter(map(ending, words), dtype=np.int64, count=len(words))
+        last = np.frombuffer(b"".join([w[-2:] if len(w) > 1 else b"\0" + w for w in words]), dtype=np.uint8).reshape(-1, 2)
+        e = (last[:, 1].astype(np.int64) << 8) + last[:, 0]  # ``ending`` of each
         parts = self.parts[e]
         out = self.base[e]
         many = np.flatnonzero(parts > 1)
-        h = np.fromiter((zlib.crc32(words[k]) for k in many), dtype=np.int64, count=len(many))
+        h = np.fromiter(map(zlib.crc32, map(words.__getitem__, many.tolist())), dtype=np.int64, count=len(many))
         out[many] += h * parts[many] >> 32
         return out
 
 
-def _summed(rows: np.ndarray, at: np.ndarray, places: int) -> np.ndarray:
-    """The sums of ``rows`` by place."""
-    width = rows.shape[1]
-    out = np.zeros(places * width, dtype=np.float32)
-    np.add.at(out, (at[:, None] * width + np.arange(width)).ravel(), rows.ravel())
-    return out.reshape(places, width)
+def _add(sums: np.ndarray, at: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> None:
+    """Adds ``rows`` to the rows of ``sums`` at these places, repeats too. Two numbers go as a complex one, which halves the additions;
+    ``pairs`` has the places of each row's pairs."""
+    np.add.at(sums.reshape(-1).view(np.complex64), pairs.take(at, axis=0).ravel(), rows.reshape(-1).view(np.complex64))
 
 
-def _sure(score: np.ndarray) -> np.ndarray:
-    """The logistic function, in place."""
-    score *= 0.5
-    np.tanh(score, out=score)
+def _above(score: np.ndarray) -> np.ndarray:
+    """1 + exp(score), in place; the logistic function of -score is its reciprocal. Beyond float32 it is infinite, and that 0."""
+    with np.errstate(over="ignore"):
+        np.exp(score, out=score)
     score += 1
-    score *= 0.5
     return score
 
 
@@ -126,12 +124,12 @@ class Model:
     def copy(self) -> Model:
         return Model(self.unigram, self.first, self.share, **{k: v.copy() for k, v in self.tables.items()})
 
-    def _step(self, name: str, g: np.ndarray, rate: float) -> None:
-        """AdaGrad by row of a table; rows that a batch doesn't name have no gradient and stay."""
+    def _step(self, name: str, g: np.ndarray, rate: float, scale: np.float32, table: np.ndarray | None = None) -> None:
+        """AdaGrad by row of a table, or of a wider copy of it, for ``scale * g``; rows that a batch doesn't name have no gradient and stay."""
         state = self.squares[name]
-        state += np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
-        g *= (np.float32(rate) / np.sqrt(state))[:, None]
-        table = getattr(self, name)
+        state += np.einsum("ij,ij->i", g, g) * (scale * scale / np.float32(getattr(self, name).shape[1]))
+        g *= (np.float32(rate) * scale / np.sqrt(state))[:, None]
+        table = getattr(self, name) if table is None else table
         table += g
 
     def train(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, rng: np.random.Generator, slow: float = 1.0) -> None:
@@ -144,47 +142,90 @@ class Model:
     def _train_units(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, rng: np.random.Generator, slow: float) -> None:
         noise_p = np.log(self.unigram * NOISE).astype(np.float32)
         cumulative = np.cumsum(self.unigram)
+        # a column for the bias, and an even width for ``_add``; maps are repeated by row, as whole tables multiply faster
+        pad = ((0, 0), (0, 1 + (DIM + 1) % 2))
+        q, r = np.pad(self.q, (pad[0], (0, pad[1][1] - 1))), np.pad(self.r, pad)
+        r[:, DIM] = 1
+        pairs = np.arange(r.size // 2).reshape(len(r), -1)
+        c = np.zeros((2, *r.shape), dtype=np.float32)
+        c[0, :, DIM] = 1
+        gq, gx, gy, spare = np.empty((4, *r.shape), dtype=np.float32)
+        gq = gq[: len(q)]
+        ones = np.ones(len(r), dtype=np.float32)
         for s in range(0, len(unit), BATCH):
             x, y, w = (a[s : s + BATCH] for a in (u, v, unit))
             k = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(cumulative) - 1)
-            rx, ry = self.r.take(x, axis=0), self.r.take(y, axis=0)
-            p = np.ones((len(w), DIM + 1), dtype=np.float32)  # the last column is for the bias
-            p[:, :DIM] = self.c[0] * rx + self.c[1] * ry
-            q, qk = self.q.take(w, axis=0), self.q.take(k, axis=0)
-            # d(log-likelihood)/ds: 1 - P(data) for the target, -P(data) for each noise unit
-            dp = 1 - _sure(np.einsum("ij,ij->i", p, q) - noise_p[w])
-            dn = p @ qk.T
-            dn -= noise_p[k]
-            _sure(dn)
-            gp = (dp[:, None] * q - dn @ qk)[:, :DIM]
             scale = np.float32(len(w) ** -0.5)
-            self._step("q", _summed(np.concatenate([(dp * scale)[:, None] * p, dn.T @ (p * -scale)]), np.concatenate([w, k]), len(self.q)), RATE * slow)
-            self._step("r", _summed(np.concatenate([gp * (self.c[0] * scale), gp * (self.c[1] * scale)]), np.concatenate([x, y]), len(self.r)), RATE * slow)
-            self._step("c", np.stack([np.einsum("ij,ij->j", gp, rx), np.einsum("ij,ij->j", gp, ry)]) * scale, RATE * slow)
+            c[:, :, :DIM] = self.c[:, None]
+            p = np.multiply(r, c[0], out=spare).take(x, axis=0)
+            p += np.multiply(r, c[1], out=spare).take(y, axis=0)
+            gp, qk = q.take(w, axis=0), q.take(k, axis=0)
+            # d(log-likelihood)/ds: 1 - P(data) for the target, -P(data) for each noise unit
+            dp = 1 / _above(np.einsum("ij,ij->i", p, gp) - noise_p[w])
+            away = -qk
+            away[:, DIM] += noise_p[k]
+            dn = _above(p @ away.T)
+            np.reciprocal(dn, out=dn)
+            gp *= dp[:, None]
+            gp -= dn @ qk
+            gp[:, DIM:] = 0
+            noise = dn.T @ p
+            np.negative(noise, out=noise)
+            p *= dp[:, None]
+            for g in (gq, gx, gy):
+                g[:] = 0
+            _add(gq, w, p, pairs)
+            _add(gq, k, noise, pairs)
+            _add(gx, x, gp, pairs)
+            _add(gy, y, gp, pairs)
+            maps = np.stack([ones @ np.multiply(g, r, out=spare) for g in (gx, gy)])[:, :DIM]
+            gx *= c[0]
+            gy *= c[1]
+            gx += gy
+            self._step("q", gq, RATE * slow, scale, q)
+            self._step("r", gx, RATE * slow, scale, r)
+            self._step("c", maps, RATE * slow, scale)
+        self.q[:], self.r[:] = q[:, : DIM + 1], r[:, :DIM]
 
     def _train_classes(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, slot: np.ndarray, slow: float) -> None:
         """Words against the noise of their class, whose expectation is taken over all slots of the class."""
+        first, second = (np.pad(self.r, ((0, 0), (0, 1)), constant_values=bias) for bias in (1, 0))
+        d = np.pad(self.d, ((0, 0), (0, 1)), constant_values=1)
+        maps, state_d = np.empty_like(d), self.squares["d"]
+        row, ones = np.arange(CLASS_BATCH), np.ones(CLASS_BATCH, dtype=np.float32)
+        even = np.full(DIM + 1, 1 / np.float32(DIM + 1))
         for at, a, b in self._classes(unit, slot):
             t, state = self.t[a:b], self.squares["t"][a:b]
             ratio = (CLASS_NOISE * self.share[a:b]).astype(np.float32)
-            log_ratio = np.log(ratio)
+            log_ratio, less = np.log(ratio), -ratio
+            x, y, place = u[at], v[at], slot[at] - a
             for s in range(0, len(at), CLASS_BATCH):
-                k = at[s : s + CLASS_BATCH]
-                rx, ry = self.r.take(u[k], axis=0), self.r.take(v[k], axis=0)
-                p = np.ones((len(k), DIM + 1), dtype=np.float32)
-                p[:, :DIM] = self.d[0] * rx + self.d[1] * ry
-                sure = p @ t.T
-                sure -= log_ratio
-                _sure(sure)
-                own = (np.arange(len(k)), slot[k] - a)
-                target = 1 - sure[own]
-                sure *= -ratio
-                sure[own] += target
-                gp = (sure @ t)[:, :DIM]
+                rx, ry = first.take(x[s : s + CLASS_BATCH], axis=0), second.take(y[s : s + CLASS_BATCH], axis=0)
+                p = rx * d[0]
+                p += ry * d[1]
+                away = -t
+                away[:, DIM] += log_ratio
+                sure = _above(p @ away.T)
+                own = row[: len(p)] * (b - a)
+                own += place[s : s + CLASS_BATCH]
+                target = 1 - 1 / sure.reshape(-1).take(own)
+                np.divide(less, sure, out=sure)
+                sure.reshape(-1)[own] += target
+                gp = sure @ t
                 g = sure.T @ p
-                state += np.einsum("ij,ij->i", g, g) / np.float32(DIM + 1)
-                t += (np.float32(CLASS_RATE * slow) / np.sqrt(state))[:, None] * g
-                self._step("d", np.stack([np.einsum("ij,ij->j", gp, rx), np.einsum("ij,ij->j", gp, ry)]) * np.float32(len(k) ** -0.5), RATE * slow)
+                state += (g * g) @ even
+                g *= (np.float32(CLASS_RATE * slow) / np.sqrt(state))[:, None]
+                t += g
+                rx *= gp
+                ry *= gp
+                np.dot(ones[: len(p)], rx, out=maps[0])
+                np.dot(ones[: len(p)], ry, out=maps[1])
+                maps[:, DIM] = 0
+                maps *= np.float32(len(p) ** -0.5)
+                state_d += (maps * maps).sum(axis=1) / np.float32(DIM)
+                maps *= (np.float32(RATE * slow) / np.sqrt(state_d))[:, None]
+                d += maps
+        self.d[:] = d[:, :DIM]
 
     def log_normalisers(self) -> np.ndarray:
         """log of the sum of exp(s) over units for every context (u, v). exp(s) is a product of a factor of (u, w) and one of
@@ -210,20 +251,20 @@ class Model:
             q = self.q.take(w, axis=0)
             p = first.take(x, axis=0)
             p += second.take(y, axis=0)
-            out[s : s + (1 << 16)] = np.einsum("ij,ij->i", p, q[:, :DIM]) + q[:, DIM] - normal[x, y]
-        first, second = self.d[0] * self.r, self.d[1] * self.r
+            out[s : s + (1 << 16)] = np.einsum("ij,ij->i", p, q[:, :DIM]) + q[:, DIM] - normal.reshape(-1).take(x.astype(np.int64) * normal.shape[1] + y)
+        first, second = (np.pad(d * self.r, ((0, 0), (0, 1)), constant_values=bias) for d, bias in zip(self.d, (1, 0)))
         for every, a, b in self._classes(unit, slot):
             t = self.t[a:b]
+            x, y, place = u[every], v[every], slot[every] - a
             step = max(1, CELLS // (b - a))
             for s in range(0, len(every), step):
-                at = every[s : s + step]
-                p = first.take(u[at], axis=0)
-                p += second.take(v[at], axis=0)
-                scores = p @ t[:, :DIM].T
-                scores += t[:, DIM]
-                scores -= scores.max(axis=1)[:, None]
-                own = scores[np.arange(len(at)), slot[at] - a]
-                out[at] += own - np.log(np.exp(scores, out=scores).sum(axis=1))
+                p = first.take(x[s : s + step], axis=0)
+                p += second.take(y[s : s + step], axis=0)
+                scores = p @ t.T
+                if not (scores.max() < 60 and scores.min() > -60):  # else no sum of their exp leaves float32
+                    scores -= scores.max(axis=1)[:, None]
+                own = scores.reshape(-1).take(np.arange(len(p)) * (b - a) + place[s : s + step])
+                out[every[s : s + step]] += own - np.log(np.exp(scores, out=scores).sum(axis=1))
         return out
 
     def _classes(self, unit: np.ndarray, slot: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:

@@ -101,8 +101,8 @@ class Dictionary:
         self.count[: self.heads] = counts[: self.heads]
         self.count[self.units + slot] = counts[self.heads :]
         self.count[self.end] = ends
-        self.unit_of = np.concatenate([np.arange(self.units), self.heads + np.repeat(np.arange(self.classes.n), np.diff(self.first))])
-        self.slot_of = np.concatenate([np.full(self.units, -1), np.arange(self.first[-1])])
+        self.unit_of = np.concatenate([np.arange(self.units), self.heads + np.repeat(np.arange(self.classes.n), np.diff(self.first))]).astype(np.int32)
+        self.slot_of = np.concatenate([np.full(self.units, -1), np.arange(self.first[-1])]).astype(np.int32)
 
     def rests(self, tokens: np.ndarray, words: np.ndarray) -> None:
         """Takes the tokens and the words of each class beyond the dictionary."""
@@ -128,10 +128,14 @@ class Dictionary:
         first = np.array(first)
         ids[first[1:] - 1] = self.end
         left = np.flatnonzero(ids < 0)
-        keys = [_key(words[k]) for k in left]
-        ids[left] = np.fromiter((get(w, -1) for w in keys), dtype=np.int32, count=len(left))
-        rare = ids[left] < 0
-        left, keys = left[rare], [w for w, r in zip(keys, rare.tolist()) if r]
+        keys = list(map(words.__getitem__, left.tolist()))
+        long = [k for k, w in enumerate(keys) if len(w) > LONGEST]
+        if long:  # the dictionary has them by their digests
+            for k in long:
+                keys[k] = _key(keys[k])
+                ids[left[k]] = get(keys[k], -1)
+            rare = ids[left] < 0
+            left, keys = left[rare], [w for w, r in zip(keys, rare.tolist()) if r]
         ids[left] = self.units + self.rest[self.classes.of(keys)]
         split = np.searchsorted(left, first).tolist()
         return ids, first, [Counter(keys[a:b]) for a, b in zip(split, split[1:])]
@@ -143,9 +147,10 @@ class Dictionary:
 
 def _contexts(units: np.ndarray, first: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """The units two and one before each token; ``start`` before a text."""
-    one = np.concatenate([[start], units[:-1]])
+    one, two = np.empty_like(units), np.empty_like(units)
+    one[1:] = units[:-1]
     one[first[:-1]] = start
-    two = np.concatenate([[start], one[:-1]])
+    two[1:] = one[:-1]
     two[first[:-1]] = start
     return two, one
 
@@ -216,9 +221,11 @@ def encoded(rows: DataFrame, words) -> DataFrame:
                 ids, first, rare = known.encoded(texts)
                 m = len(texts)
                 cut = first.tolist()
+                times = [n for c in rare for n in c.values()]
+                left = pa.StructArray.from_arrays([pa.array([w for c in rare for w in c], pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, m), b.column(1).slice(at, m), pa.array([_packed(ids[a:z]) for a, z in zip(cut, cut[1:])], pa.binary()), pa.array(np.add.reduceat(seen[ids].astype(np.int64), first[:-1])),
-                     pa.array(np.add.reduceat(logs[ids], first[:-1])), pa.array([[{"word": w, "n": n} for w, n in c.items()] for c in rare], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                     pa.array(np.add.reduceat(logs[ids], first[:-1])), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(c) for c in rare])]), pa.int32()), left)],
                     names=["doc_id", "held_out", "ids", "n_known", "base", "rare"],
                 )
 
@@ -231,10 +238,11 @@ def _packed(ids: np.ndarray) -> bytes:
 
 
 def _decoded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    first = np.concatenate([[0], np.cumsum([len(t) // 4 for t in texts])])
+    sizes = [len(t) // 4 for t in texts]
+    first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     out = np.empty((int(first[-1]), 4), dtype=np.uint8)
-    for t, a, b in zip(texts, first[:-1].tolist(), first[1:].tolist()):
-        out[a:b] = np.frombuffer(t, dtype=np.uint8).reshape(4, -1).T
+    for k in range(4):
+        out[:, k] = np.frombuffer(b"".join([t[k * n : (k + 1) * n] for t, n in zip(texts, sizes)]), dtype=np.uint8)
     return out.reshape(-1).view("<i4"), first
 
 
