@@ -87,8 +87,7 @@ def _add(sums: np.ndarray, at: np.ndarray, rows: np.ndarray, pairs: np.ndarray)
 
 def _above(score: np.ndarray) -> np.ndarray:
     """1 + exp(score), in place; the logistic function of -score is its reciprocal. Beyond float32 it is infinite, and that 0."""
-    with np.errstate(over="ignore"):
-        np.exp(score, out=score)
+    np.exp(score, out=score)
     score += 1
     return score
 
@@ -136,8 +135,9 @@ class Model:
         """One pass over (two units before, unit, slot or -1), in batches; the state of the steps goes on from call to call."""
         if self.squares is None:
             self.squares = {k: np.full(len(x), SQUARE) for k, x in self.tables.items()}
-        self._train_units(u, v, unit, rng, slow)
-        self._train_classes(u, v, unit, slot, slow)
+        with np.errstate(over="ignore"):  # of ``_above``
+            self._train_units(u, v, unit, rng, slow)
+            self._train_classes(u, v, unit, slot, slow)
 
     def _train_units(self, u: np.ndarray, v: np.ndarray, unit: np.ndarray, rng: np.random.Generator, slow: float) -> None:
         noise_p = np.log(self.unigram * NOISE).astype(np.float32)

@@ -62,7 +62,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array([_key(w) for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        return pa.RecordBatch.from_arrays([pa.array([w if len(w) <= LONGEST else _key(w) for w in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
 
     for b in batches:
         for t in b.column(0).cast(pa.binary()).to_pylist():
